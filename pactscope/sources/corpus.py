@@ -127,3 +127,45 @@ def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("start_offset"),
         F.lit(None).cast("int").alias("end_offset"),
     )
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two questions per contract, the first one asked with a clause selected."""
+    texts = F.array(*[F.lit(m) for m in QUESTIONS])
+    numbered = contracts(spark, sf_dir).select("doc_id", "n_clauses", F.explode(F.array(F.lit(1), F.lit(2))).alias("q_no"))
+    return numbered.select(
+        "doc_id",
+        "q_no",
+        F.get(texts, ((F.col("doc_id") + 3 * F.col("q_no")) % len(QUESTIONS)).cast("int")).alias("message"),
+        F.when(
+            F.col("q_no") == 1, F.concat(F.lit("clause_"), (1 + F.col("doc_id") % F.col("n_clauses")).cast("string"))
+        ).alias("selected_clause_id"),
+    )
+
+
+def answer_text(doc_id: Column, n: Column) -> Column:
+    """A raw chat answer with citation markers, some invalid, repeated or cut off."""
+    first, second = (1 + doc_id % n).cast("string"), (1 + (doc_id + 1) % n).cast("string")
+    tail = F.when(doc_id % 3 == 0, " end [CIT").when(doc_id % 3 == 1, " end [CITE:clause_").otherwise(" end [")
+    return F.concat(
+        F.lit("Risk in [CITE:clause_"), first, F.lit("] is high , see [CITE:clause_"), second,
+        F.lit("] and [CITE:clause_99] or [CITE:clause_"), first, F.lit("]. Keep [note] here"), tail,
+    )
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One raw answer per contract with the clause ids it may cite."""
+    ids = F.transform(F.sequence(F.lit(1), F.col("n_clauses")), lambda i: F.concat(F.lit("clause_"), i))
+    return contracts(spark, sf_dir).select(
+        "doc_id", answer_text(F.col("doc_id"), F.col("n_clauses")).alias("raw"), ids.alias("allowed")
+    )
+
+
+def message_chunks(conversations: DataFrame) -> DataFrame:
+    """Chat messages cut at blanks: (msg_id, seq, chunk, last)."""
+    parts = F.split("text", " ")
+    rows = conversations.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), F.size(parts).alias("n"), F.posexplode(parts).alias("seq", "w")
+    )
+    last = F.col("seq") == F.col("n") - 1
+    return rows.select("msg_id", "seq", F.when(last, F.col("w")).otherwise(F.concat("w", F.lit(" "))).alias("chunk"), last.alias("last"))
