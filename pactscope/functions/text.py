@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactscope.functions.lexicon import GUARDS, PATTERNS, SPACE, WORD, WORDS, WS_CHARS
@@ -114,3 +114,17 @@ def first_present(*columns: Column) -> Column:
 def flag(condition: Column) -> Column:
     """Boolean as 0/1 BIGINT, unknown counted as 0."""
     return F.coalesce(condition, F.lit(False)).cast("bigint")
+
+
+def spread(df: DataFrame, keys: list, array: Column, position: str, item: str) -> DataFrame:
+    """One row per array element with its 0-based position.
+
+    The outer form plus a filter on the position keeps the optimizer from repeating the array's whole
+    expression in a filter of its own below the explode.
+    """
+    return df.select(*keys, F.posexplode_outer(array).alias(position, item)).where(F.col(position).isNotNull())
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -169,3 +169,48 @@ def message_chunks(conversations: DataFrame) -> DataFrame:
     )
     last = F.col("seq") == F.col("n") - 1
     return rows.select("msg_id", "seq", F.when(last, F.col("w")).otherwise(F.concat("w", F.lit(" "))).alias("chunk"), last.alias("last"))
+
+
+def _body(doc_id: Column, n: Column, idx: Column, divided: bool) -> Column:
+    """Title line and text of a clause inside a document; ``divided`` puts sub-clauses into some of them."""
+    cols = clause_columns(doc_id, n, idx)
+    if not divided:
+        return F.concat(cols["title"], F.lit("\n"), cols["text"])
+    i, form = idx.cast("string"), (doc_id + idx) % 5
+    text = (
+        F.when(form == 0, F.concat(i, F.lit(".1 Scope: "), cols["text"], F.lit("\n"), i, F.lit(".2 The "),
+                                   F.lower(cols["title"]), F.lit(" rule is final and binding on all.")))
+        .when(form == 1, F.concat(i, F.lit('.1 "Fees" means all sums due.\n'), i, F.lit(".2 "), cols["text"]))
+        .when(form == 2, F.concat(F.lit("Preamble.\n"), i, F.lit(".1 Order of Steps — Carve-Out\n"), i, F.lit(".2 short\n"),
+                                  i, F.lit(".3 "), cols["text"]))
+        .otherwise(cols["text"])
+    )
+    return F.concat(cols["title"], F.lit("\n"), text)
+
+
+def documents(spark: SparkSession, sf_dir: str, divided: bool = False) -> DataFrame:
+    """Whole contract texts: a title line, then every clause under its numbered heading."""
+    d, n = F.col("doc_id"), F.col("n_clauses")
+    parts = F.transform(F.sequence(F.lit(1), n), lambda i: _body(d, n, i, divided))
+    return contracts(spark, sf_dir).select(
+        "doc_id",
+        "filename",
+        F.concat(F.lit("SERVICES AGREEMENT "), d, F.lit("\n\n"), F.array_join(parts, "\n\n")).alias("text"),
+    )
+
+
+def paged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File texts with form feeds between pages of three clauses and a blank page at the end."""
+    d, n = F.col("doc_id"), F.col("n_clauses")
+    page_count = F.ceil(n / 3).cast("int")
+
+    def page(p: Column) -> Column:
+        members = F.transform(
+            F.sequence(p * 3 - 2, F.least(p * 3, n)), lambda i: _body(d, n, i, False)
+        )
+        return F.array_join(members, "\n\n")
+
+    pages = F.transform(F.sequence(F.lit(1), page_count), page)
+    return contracts(spark, sf_dir).select(
+        "doc_id", "filename", F.concat(F.array_join(pages, "\r\n\f"), F.lit("\f  \n")).alias("file_text")
+    )
