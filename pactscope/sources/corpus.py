@@ -214,3 +214,85 @@ def paged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts(spark, sf_dir).select(
         "doc_id", "filename", F.concat(F.array_join(pages, "\r\n\f"), F.lit("\f  \n")).alias("file_text")
     )
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outside verdicts as JSON text, two batches per contract; contracts of status P were never reviewed.
+
+    Short clauses get no verdict, some get two, some payloads are fenced, wrapped in prose or cut off, and some
+    name a level that does not exist.
+    """
+    d, idx = F.col("doc_id"), F.col("idx")
+    levels = F.array(*[F.lit(x) for x in ("HIGH", "MEDIUM", "LOW", "NEUTRAL")])
+    level = F.when((d % 11 == 3) & (idx == 2), "SEVERE").otherwise(F.get(levels, idx % 4))
+
+    def verdict(score: Column) -> Column:
+        return F.struct(
+            F.concat(F.lit("clause_"), idx).alias("clause_id"),
+            F.concat(F.lit("Reviewed "), idx).alias("title"),
+            level.alias("risk_level"),
+            score.alias("unfairness_score"),
+            F.when(idx % 3 == 1, "LIABILITY").alias("category"),
+            F.when(idx % 2 == 1, F.concat(F.lit("Outside view of clause "), idx)).alias("plain_english_summary"),
+            F.when(idx % 4 == 0, F.concat(F.lit("Strike clause "), idx)).alias("suggested_pushback"),
+            F.when(idx % 4 < 2, F.array(F.lit("Outside reason"))).alias("risk_reasons"),
+        )
+
+    score = (d + 17 * idx) % 101
+    twice = F.array(verdict(score), verdict((d + 17 * idx + 7) % 101))
+    batch = F.when(idx <= 3, 0).otherwise(1)
+    status = contracts(spark, sf_dir).where(F.col("status") != "P").select("doc_id")
+    rows = clauses(spark, sf_dir).where(F.length("text") >= 60).join(status, "doc_id")
+    per_batch = (
+        rows.select("doc_id", batch.alias("batch_no"), "idx", F.when(idx % 5 == 1, twice).otherwise(F.slice(twice, 1, 1)).alias("v"))
+        .groupBy("doc_id", "batch_no")
+        .agg(F.flatten(F.array_sort(F.collect_list(F.struct("idx", "v")))["v"]).alias("clauses"))
+    )
+    b = F.col("batch_no")
+    payload = F.to_json(
+        F.struct(
+            F.when((b == 1) & (d % 3 == 0), "n/a").otherwise(((d * (13 + 16 * b)) % 101).cast("string")).alias("overall_fairness_score"),
+            F.when((b == 1) & (d % 2 == 0), "").otherwise(F.concat(F.lit("Part "), b, F.lit(" of "), d, F.lit("."))).alias("summary_overview"),
+            "clauses",
+        )
+    )
+    wrapped = (
+        F.when(d % 7 == 0, F.concat(F.lit("```json\n"), payload, F.lit("\n```")))
+        .when(d % 7 == 1, F.concat(F.lit("Here is the audit: "), payload, F.lit(" Done.")))
+        .when(d % 7 == 2, F.concat(F.lit("{"), payload))
+        .otherwise(payload)
+    )
+    return per_batch.select("doc_id", "batch_no", wrapped.alias("json"))
+
+
+def client_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clause lists as a client might send them: one JSON array per contract, mixed key styles, gaps."""
+    d, n = F.col("doc_id"), F.col("n_clauses")
+    levels = F.array(*[F.lit(x) for x in ("HIGH", "MEDIUM", "low", "NEUTRAL", "ODD")])
+    kinds = F.array(F.lit("OPERATIVE"), F.lit("DEFINITION"), F.lit("RECITAL"))
+
+    def item(i: Column) -> Column:
+        cols, odd = clause_columns(d, n, i), i % 2 == 1
+        return F.struct(
+            F.when(odd, F.concat(F.lit("c"), i)).alias("id"),
+            F.when(i % 3 > 0, cols["title"]).alias("title"),
+            F.when(odd, cols["text"]).alias("originalText"),
+            F.when(~odd, cols["text"]).alias("text"),
+            F.when(odd, F.get(levels, ((d + i) % 5).cast("int"))).alias("riskLevel"),
+            F.when(~odd & (i % 4 == 0), F.get(levels, ((d + i) % 5).cast("int"))).alias("risk_level"),
+            F.when(odd, F.get(kinds, ((d + i) % 3).cast("int"))).alias("clauseKind"),
+            F.when(i % 4 == 1, F.lit(False)).alias("isRiskBearing"),
+            F.when(i % 4 == 2, F.lit(True)).alias("is_risk_bearing"),
+            F.when(i % 3 == 0, (d + i) % 101).alias("unfairnessScore"),
+            F.when(i % 5 == 1, (d + 2 * i) % 101).alias("unfairness_score"),
+            F.when(i % 3 == 1, F.array(F.lit("one"), F.lit("two"))).alias("riskReasons"),
+            F.when(i % 5 == 2, F.lit("scalar reason")).alias("risk_reasons"),
+            F.when(i % 2 == 0, "").otherwise("Short.").alias("plainSummary"),
+            F.when(i % 6 == 0, F.lit("From the server.")).alias("plain_english_summary"),
+            F.when(i % 4 == 3, F.lit("TERMINATION_RIGHTS")).alias("category"),
+            F.when(i % 2 == 0, i).alias("pageNumber"),
+        )
+
+    return contracts(spark, sf_dir).select(
+        "doc_id", "filename", "n_clauses", F.to_json(F.transform(F.sequence(F.lit(1), n), item)).alias("json")
+    )
