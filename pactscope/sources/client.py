@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactscope.functions.lexicon import DEFAULT_SCORE_BY_LEVEL, NON_RISK_KINDS
-from pactscope.functions.text import first_present
+from pactscope.functions.text import first_present, spread
 from pactscope.operators.labels import normalize_category, normalize_risk_level
 
 _KEYS = [
@@ -20,7 +20,7 @@ _ITEMS = "array<struct<" + ", ".join(f"`{k}`: string" for k in _KEYS) + ">>"
 
 def client_items(df: DataFrame, json: Column) -> DataFrame:
     """One row per clause of a JSON array, ``c`` holding the raw values and ``at`` the position from 1."""
-    return df.select("doc_id", F.posexplode(F.from_json(json, _ITEMS)).alias("_p", "c")).withColumn("at", F.col("_p") + 1)
+    return spread(df, ["doc_id"], F.from_json(json, _ITEMS), "_p", "c").withColumn("at", F.col("_p") + 1)
 
 
 def _number(*names: str) -> Column:

@@ -75,6 +75,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One contract per order: id, clause count, file name, size, order status."""
+    return contracts_of(spread(table(spark, sf_dir, "orders")))
+
+
+def contracts_of(orders: DataFrame) -> DataFrame:
+    """The same over any batch or stream of orders."""
     key = F.col("o_orderkey")
     stem = (
         F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("Apartment_Lease_"), key, F.lit(".pdf")))
@@ -83,10 +88,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderpriority") == "5-LOW", F.concat(F.lit("statement_of_work_"), key, F.lit(".txt")))
         .otherwise(F.concat(F.lit("price_list_"), key, F.lit(".xlsx")))
     )
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"
-    )
-    return spread(orders).select(
+    return orders.select(
         key.alias("doc_id"),
         (F.lit(4) + key % 9).cast("int").alias("n_clauses"),
         stem.alias("filename"),
@@ -155,17 +157,21 @@ def answer_text(doc_id: Column, n: Column) -> Column:
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw answer per contract with the clause ids it may cite."""
+    return answers_of(contracts(spark, sf_dir))
+
+
+def answers_of(contract_rows: DataFrame) -> DataFrame:
     ids = F.transform(F.sequence(F.lit(1), F.col("n_clauses")), lambda i: F.concat(F.lit("clause_"), i))
-    return contracts(spark, sf_dir).select(
+    return contract_rows.select(
         "doc_id", answer_text(F.col("doc_id"), F.col("n_clauses")).alias("raw"), ids.alias("allowed")
     )
 
 
-def message_chunks(conversations: DataFrame) -> DataFrame:
-    """Chat messages cut at blanks: (msg_id, seq, chunk, last)."""
+def message_chunks(messages: DataFrame) -> DataFrame:
+    """Messages (msg_id, text) cut at blanks: (msg_id, seq, chunk, last)."""
     parts = F.split("text", " ")
-    rows = conversations.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), F.size(parts).alias("n"), F.posexplode(parts).alias("seq", "w")
+    rows = messages.select(
+        "msg_id", F.size(parts).alias("n"), F.posexplode_outer(parts).alias("seq", "w")
     )
     last = F.col("seq") == F.col("n") - 1
     return rows.select("msg_id", "seq", F.when(last, F.col("w")).otherwise(F.concat("w", F.lit(" "))).alias("chunk"), last.alias("last"))
@@ -190,9 +196,13 @@ def _body(doc_id: Column, n: Column, idx: Column, divided: bool) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str, divided: bool = False) -> DataFrame:
     """Whole contract texts: a title line, then every clause under its numbered heading."""
+    return documents_of(contracts(spark, sf_dir), divided)
+
+
+def documents_of(contract_rows: DataFrame, divided: bool = False) -> DataFrame:
     d, n = F.col("doc_id"), F.col("n_clauses")
     parts = F.transform(F.sequence(F.lit(1), n), lambda i: _body(d, n, i, divided))
-    return contracts(spark, sf_dir).select(
+    return contract_rows.select(
         "doc_id",
         "filename",
         F.concat(F.lit("SERVICES AGREEMENT "), d, F.lit("\n\n"), F.array_join(parts, "\n\n")).alias("text"),
