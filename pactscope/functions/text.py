@@ -18,22 +18,33 @@ from pactscope.functions.lexicon import GUARDS, PATTERNS, SPACE, WORD, WORDS, WS
 JAVA_FLAGS = "(?dU)"
 
 
-def matches(text: Column, pattern: str, flags: str = "") -> Column:
+def sql_literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _column(text: Column | str) -> Column:
+    return F.col(text) if isinstance(text, str) else text
+
+
+def matches(text: Column | str, pattern: str, flags: str = "") -> Column:
     """Unanchored search for ``pattern``; extra inline ``flags`` such as "m" or "i"."""
-    return text.rlike(f"(?dU{flags})" + pattern)
+    return _column(text).rlike(f"(?dU{flags})" + pattern)
 
 
-def has_pattern(text: Column, name: str) -> Column:
+def has_pattern(text: Column | str, name: str) -> Column:
     """Named pattern; a cheap containment test spares most texts the pattern itself."""
     guard = GUARDS.get(name)
     return contains_any(text, guard) & matches(text, PATTERNS[name]) if guard else matches(text, PATTERNS[name])
 
 
-def contains_any(text: Column, words: list[str]) -> Column:
+def contains_any(text: Column | str, words: list[str]) -> Column:
+    """Whether any word occurs; given a column by name, the whole test is built in one call."""
+    if isinstance(text, str):
+        return F.expr(" OR ".join(f"contains(`{text}`, {sql_literal(w)})" for w in words))
     return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
 
 
-def has_words(text: Column, name: str) -> Column:
+def has_words(text: Column | str, name: str) -> Column:
     return contains_any(text, WORDS[name])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactscope.functions import lexicon as lex
-from pactscope.functions.text import has_more_words_than, has_pattern, has_words, matches, strip
+from pactscope.functions.text import has_more_words_than, has_pattern, has_words, matches, sql_literal, strip
 from pactscope.functions.wording import OUTCOMES
 
 MITIGATIONS = ["has_cap", "has_mutuality", "has_condition", "has_cure_period"]
@@ -42,10 +42,10 @@ _TITLE_AND_TEXT = [
 
 def pattern_flag(name: str) -> Column:
     if name in _TITLE_AND_TEXT:
-        return has_pattern(F.col("_full"), name)
+        return has_pattern("_full", name)
     if name in ("recital", "clause_label"):
-        return has_pattern(F.col("_body"), name) | has_pattern(F.col("_ttl"), name)
-    return has_pattern(F.col("_body"), name)
+        return has_pattern("_body", name) | has_pattern("_ttl", name)
+    return has_pattern("_body", name)
 
 
 def pattern_flags(clauses: DataFrame) -> DataFrame:
@@ -61,20 +61,20 @@ def with_structure(clauses: DataFrame) -> DataFrame:
     body, ttl, full = F.col("_body"), F.col("_ttl"), F.col("_full")
     stripped = strip(body)
 
-    base = with_lowered(clauses).withColumn("_trap", has_pattern(body, "operative_trap"))
+    base = with_lowered(clauses).withColumn("_trap", has_pattern("_body", "operative_trap"))
     base = base.withColumn(
         "_substantive",
-        F.col("_trap") | has_pattern(full, "consequence") | has_pattern(full, "operative_trap"),
+        F.col("_trap") | has_pattern("_full", "consequence") | has_pattern("_full", "operative_trap"),
     )
     administrative = (
-        has_pattern(full, "governing_law")
-        | has_pattern(full, "notices")
-        | has_pattern(full, "severability")
-        | has_pattern(full, "counterparts")
-        | has_pattern(full, "entire_agreement")
-        | has_pattern(body, "cross_ref_body")
-        | (has_pattern(body, "cross_reference") & ~has_more_words_than(stripped, 39))
-        | has_pattern(full, "boilerplate")
+        has_pattern("_full", "governing_law")
+        | has_pattern("_full", "notices")
+        | has_pattern("_full", "severability")
+        | has_pattern("_full", "counterparts")
+        | has_pattern("_full", "entire_agreement")
+        | has_pattern("_body", "cross_ref_body")
+        | (has_pattern("_body", "cross_reference") & ~has_more_words_than(stripped, 39))
+        | has_pattern("_full", "boilerplate")
     )
     base = base.withColumn("_boilerplate", ~F.col("_substantive") & administrative)
 
@@ -89,9 +89,9 @@ def with_structure(clauses: DataFrame) -> DataFrame:
         | (~F.col("_boilerplate") & ~has_more_words_than(F.col("_rest"), 3))
     )
     kind = (
-        F.when(has_pattern(body, "recital") | has_pattern(ttl, "recital"), "RECITAL")
+        F.when(has_pattern("_body", "recital") | has_pattern("_ttl", "recital"), "RECITAL")
         .when(
-            has_words(ttl, "definition_title") | matches(stripped, lex.DEFINITION_BODY),
+            has_words("_ttl", "definition_title") | matches(stripped, lex.DEFINITION_BODY),
             F.when(F.col("_trap"), "OPERATIVE").otherwise("DEFINITION"),
         )
         .when(
@@ -111,11 +111,11 @@ def with_structure(clauses: DataFrame) -> DataFrame:
 
 def is_operative() -> Column:
     """R4, over the helper flags of ``with_structure``."""
-    return F.col("_substantive") | (has_pattern(F.col("_full"), "covenant_verb") & ~F.col("_boilerplate"))
+    return F.col("_substantive") | (has_pattern("_full", "covenant_verb") & ~F.col("_boilerplate"))
 
 
 # -- R7: mitigation ---------------------------------------------------------
-def mitigation(body: Column) -> dict[str, Column]:
+def mitigation(body: Column | str = "_body") -> dict[str, Column]:
     return {
         "has_cap": has_pattern(body, "cap"),
         "has_mutuality": has_pattern(body, "reciprocal"),
@@ -126,7 +126,7 @@ def mitigation(body: Column) -> dict[str, Column]:
 
 def mitigation_flags(clauses: DataFrame) -> DataFrame:
     """Four flags per clause and how many of them hold."""
-    flags = mitigation(F.col("_body"))
+    flags = mitigation()
     out = with_lowered(clauses).select("doc_id", "idx", *[flags[m].cast("bigint").alias(m) for m in MITIGATIONS])
     return out.withColumn("mitigation_count", sum((F.col(m) for m in MITIGATIONS), F.lit(0).cast("bigint")))
 
@@ -138,14 +138,14 @@ class ClauseView:
     def __init__(self, inherited: bool):
         self.body, self.title = F.col("_body"), F.col("_ttl")
         self.negated, self.reciprocal = F.col("_negated"), F.col("_reciprocal")
-        own = mitigation(self.body)
+        own = mitigation()
         own["has_mutuality"] = self.reciprocal
         self.mitigated = {
             m: (F.col("in_" + m) | own[m]) if inherited else own[m] for m in MITIGATIONS
         }
 
     def says(self, words: str) -> Column:
-        return has_words(self.body, words)
+        return has_words("_body", words)
 
     def reads(self, pattern: str) -> Column:
         return matches(self.body, pattern)
@@ -202,7 +202,7 @@ def ip_rule(c: ClauseView) -> Column:
 
 def term_rule(c: ClauseView) -> Column:
     duration = (
-        F.col("_term_duration") & ~F.col("_renewal") & ~has_pattern(c.body, "termination_covenant")
+        F.col("_term_duration") & ~F.col("_renewal") & ~has_pattern("_body", "termination_covenant")
     )
     return F.when(
         duration,
@@ -229,7 +229,7 @@ def renewal_rule(c: ClauseView) -> Column:
 def termination_rule(c: ClauseView) -> Column:
     cure = c.mitigated["has_cure_period"]
     return F.when(
-        has_pattern(c.body, "termination_covenant"),
+        has_pattern("_body", "termination_covenant"),
         F.when(c.negated, "exit_negated")
         .when(
             c.says("exit_kill") | c.says("exit_forfeiture"),
@@ -256,7 +256,7 @@ def tenancy_rule(c: ClauseView) -> Column:
 
 
 def default_rule(c: ClauseView) -> Column:
-    dispute = c.says("dispute_body") | has_words(c.title, "dispute_title")
+    dispute = c.says("dispute_body") | has_words("_ttl", "dispute_title")
     return F.when(dispute, "default_dispute").otherwise("default_other")
 
 
@@ -279,10 +279,10 @@ def with_rule_flags(structured: DataFrame) -> DataFrame:
     body = F.col("_body")
     return structured.withColumns(
         {
-            "_negated": has_pattern(body, "negation"),
-            "_reciprocal": has_pattern(body, "reciprocal"),
-            "_term_duration": has_pattern(body, "term_duration"),
-            "_renewal": has_pattern(body, "renewal_covenant"),
+            "_negated": has_pattern("_body", "negation"),
+            "_reciprocal": has_pattern("_body", "reciprocal"),
+            "_term_duration": has_pattern("_body", "term_duration"),
+            "_renewal": has_pattern("_body", "renewal_covenant"),
         }
     )
 
@@ -303,16 +303,18 @@ def single_rule(clauses: DataFrame, rule_id: str) -> DataFrame:
 
 
 # -- outcome dimension ------------------------------------------------------
-def _outcome(code: str) -> Column:
-    o = OUTCOMES[code]
-    return F.struct(
-        F.lit(o.category).alias("category"),
-        F.lit(o.level).alias("risk_level"),
-        F.lit(o.score).alias("unfairness"),
-        F.lit(o.summary).alias("summary"),
-        F.lit(o.pushback).cast("string").alias("pushback"),
-        F.array(*[F.lit(r) for r in o.reasons]).cast("array<string>").alias("risk_reasons"),
-    )
+def _outcome_map() -> str:
+    """The dimension as one SQL map literal, rule code to outcome."""
+    entries = []
+    for code, o in OUTCOMES.items():
+        pushback = sql_literal(o.pushback) if o.pushback else "CAST(NULL AS STRING)"
+        reasons = "CAST(array(" + ", ".join(sql_literal(r) for r in o.reasons) + ") AS ARRAY<STRING>)"
+        entries.append(
+            f"{sql_literal(code)}, named_struct('category', {sql_literal(o.category)}, 'risk_level', "
+            f"{sql_literal(o.level)}, 'unfairness', {o.score}, 'summary', {sql_literal(o.summary)}, "
+            f"'pushback', {pushback}, 'risk_reasons', {reasons})"
+        )
+    return "map(" + ", ".join(entries) + ")"
 
 
 OUTCOME_FIELDS = ["category", "risk_level", "unfairness", "summary", "pushback", "risk_reasons"]
@@ -325,8 +327,7 @@ def with_outcome(decided: DataFrame) -> DataFrame:
     The columns come out of a generator on purpose: a later filter on them then stays above the decision,
     instead of being rewritten into further copies of the whole rule expression below it.
     """
-    dimension = F.create_map(*[part for code in OUTCOMES for part in (F.lit(code), _outcome(code))])
-    looked_up = decided.withColumn("_o", F.element_at(dimension, F.col("rule")))
+    looked_up = decided.withColumn("_o", F.element_at(F.expr(_outcome_map()), F.col("rule")))
     kept = [c for c in STRUCTURE_FIELDS if c in decided.columns]
     verdict = F.struct(*kept, *[F.col("_o." + f).alias(f) for f in OUTCOME_FIELDS])
     others = [c for c in decided.columns if c not in kept]
@@ -345,16 +346,16 @@ def passes_triple_gate() -> Column:
     body = F.col("_body")
 
     def says(name: str) -> Column:
-        return has_words(body, name)
+        return has_words("_body", name)
 
     consequence = (
         says("gate_consequence")
         | (says("gate_renew") & says("gate_renew_how"))
         | (says("gate_exit") & says("gate_exit_how"))
         | (says("gate_pay") & says("gate_pay_how"))
-        | has_pattern(F.col("_full"), "operative_trap")
+        | has_pattern("_full", "operative_trap")
     )
-    own = mitigation(body)
+    own = mitigation()
     imbalance = ~own["has_mutuality"] | matches(body, lex.UNILATERAL_WORDING)
     unmitigated = (
         ~own["has_cap"]

@@ -27,40 +27,46 @@ def level_of(ordinal: Column) -> Column:
     return expr
 
 
-def overall_fairness(assessed: DataFrame, documents: DataFrame | None = None) -> DataFrame:
-    """A1: fairness 10-100 per contract; ``documents`` adds contracts without clauses (score 50)."""
+def _bearing() -> Column:
+    return F.coalesce(F.col("is_risk_bearing"), F.lit(True))
+
+
+def fairness_sums() -> list[Column]:
+    """Aggregates a score needs; all are exact integer sums and counts."""
     level = F.upper(F.coalesce("risk_level", F.lit("LOW")))
-    bearing = F.coalesce(F.col("is_risk_bearing"), F.lit(True))
     weight = (
-        F.when(~bearing, W["NON_RISK"])
+        F.when(~_bearing(), W["NON_RISK"])
         .when(level == "HIGH", W["HIGH"])
         .when(level == "MEDIUM", W["MEDIUM"])
         .when(level == "NEUTRAL", W["NEUTRAL"])
         .otherwise(W["LOW"])
     )
     fair = F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.coalesce("unfairness", F.lit(25))))
-    sums = assessed.groupBy("doc_id").agg(
+    return [
         F.sum((fair * weight).cast("bigint")).alias("_fair"),
         F.sum(weight.cast("bigint")).alias("_weight"),
-        F.count_if(bearing & (level == "HIGH")).alias("high_count"),
-        F.count_if(bearing & (level == "MEDIUM")).alias("medium_count"),
+        F.count_if(_bearing() & (level == "HIGH")).alias("high_count"),
+        F.count_if(_bearing() & (level == "MEDIUM")).alias("medium_count"),
         F.count(F.lit(1)).alias("n_clauses"),
-    )
+    ]
+
+
+def fairness_from_sums() -> Column:
+    """Score 10-100 from ``fairness_sums``; 50 where there are no clauses."""
+    high = F.col("high_count")
+    penalty = F.when(high >= 3, 16 + (high - 2) * 5).otherwise(high * 8)
+    score = F.bround(F.col("_fair") / F.nullif(F.col("_weight"), F.lit(0)) - penalty).cast("bigint")
+    return F.coalesce(F.when(score.isNotNull(), F.greatest(F.lit(10), F.least(F.lit(100), score))), F.lit(50)).cast("bigint")
+
+
+def overall_fairness(assessed: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """A1: fairness 10-100 per contract; ``documents`` adds contracts without clauses (score 50)."""
+    sums = assessed.groupBy("doc_id").agg(*fairness_sums())
     if documents is not None:
         sums = documents.select("doc_id").join(sums, "doc_id", "left").fillna(
             0, subset=["high_count", "medium_count", "n_clauses"]
         )
-    high = F.col("high_count")
-    penalty = F.when(high >= 3, 16 + (high - 2) * 5).otherwise(high * 8)
-    score = F.bround(F.col("_fair") / F.col("_weight") - penalty)
-    clamped = F.greatest(F.lit(10), F.least(F.lit(100), score.cast("bigint")))
-    return sums.select(
-        "doc_id",
-        F.when(F.coalesce("_weight", F.lit(0)) > 0, clamped).otherwise(F.lit(50)).cast("bigint").alias("fairness"),
-        "high_count",
-        "medium_count",
-        "n_clauses",
-    )
+    return sums.select("doc_id", fairness_from_sums().alias("fairness"), "high_count", "medium_count", "n_clauses")
 
 
 def risk_counts(assessed: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def clause_label() -> Column:
 def mentions() -> Column:
     """Distinct labels cited by the text, in order of appearance."""
     return F.when(
-        contains_any(F.col("_body"), _CITING_WORDS),
+        contains_any("_body", _CITING_WORDS),
         F.array_distinct(all_groups(F.col("_body"), PATTERNS["reference_mention"])),
     ).otherwise(F.array().cast("array<string>"))
 
@@ -45,7 +45,7 @@ def mentions() -> Column:
 def build_label_index(clauses: DataFrame) -> DataFrame:
     """First clause per (doc_id, label) with its mitigation flags."""
     labelled = with_lowered(clauses).withColumn("label", clause_label()).where(F.col("label").isNotNull())
-    flags = mitigation(F.col("_body"))
+    flags = mitigation()
     bits = sum((flags[m].cast("bigint") * 2**i for i, m in enumerate(MITIGATIONS)), F.lit(0).cast("bigint"))
     # position and flags travel as one number, so that the first clause per label is a plain hash aggregate
     row = labelled.select("doc_id", "label", (F.col("idx").cast("bigint") * 16 + bits).alias("packed"))

@@ -218,8 +218,7 @@ def _brief_sql(by_family: bool) -> str:
 def _brief(spark, sf_dir, by_family):
     judged, contract = assessed(spark, sf_dir), corpus.contracts(spark, sf_dir)
     notes = contract.select("doc_id", F.concat(F.lit("Order status "), "status").alias("notes"))
-    return brief.consultation_brief(
-        judged, contract, score.overall_fairness(judged, contract), score.risk_counts(judged), notes, by_family)
+    return brief.consultation_brief(judged, contract, notes, by_family)
 
 
 @query("s13_consultation_brief", _brief_sql(False))
@@ -261,7 +260,7 @@ def k1_batch(spark, sf_dir):
 @query("k3_message_assembly", ORACLE["a9_message_text"].removeprefix("WITH "))
 def k3(spark, sf_dir):
     source = runs.table_stream(spark, sf_dir, "conversations")
-    chunks = corpus.message_chunks(_messages(source)).withColumn("ts", F.timestamp_seconds(F.col("msg_id")))
+    chunks = corpus.message_chunks(_messages(source))
     return assembly.run_to_table(spark, chunks).select("msg_id", F.md5("text").alias("digest"), *BIG("n_chunks"))
 
 

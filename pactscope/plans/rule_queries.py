@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactscope.functions.text import flag
-from pactscope.functions.wording import COUNSEL_QUESTIONS, COUNTER_TEXTS, OUTCOMES, RELATION_TEXTS, SCENARIO_PROMPTS
+from pactscope.functions.wording import COUNTER_TEXTS, RELATION_TEXTS, SCENARIO_PROMPTS
 from pactscope.functions import lexicon as lex
 from pactscope.operators import labels, predicates, ranking, rules, score, xref
 from pactscope.plans import oracle_core as oc

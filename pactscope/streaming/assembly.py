@@ -9,9 +9,12 @@ from pactscope.operators.chat import message_text
 from pactscope.streaming.runs import shared_folder
 
 
-def assemble_messages(chunks: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Chunks (ts, msg_id, seq, chunk) to one growing row per message; the watermark bounds late input."""
-    return message_text(chunks.withWatermark("ts", lateness))
+def assemble_messages(chunks: DataFrame) -> DataFrame:
+    """Chunks (msg_id, seq, chunk) to one growing row per message.
+
+    Messages are grouped by id alone, so no chunk is ever too late; the state is the messages seen so far.
+    """
+    return message_text(chunks)
 
 
 def run_to_table(spark: SparkSession, chunks: DataFrame) -> DataFrame:
