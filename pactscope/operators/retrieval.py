@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactscope.functions.lexicon import EMBED_DIM, WORDS
-from pactscope.functions.text import contains_any, words_of
+from pactscope.functions.text import contains_any, let, words_of
 from pactscope.operators.predicates import is_global_risk_question, is_materially_risky
 from pactscope.operators.ranking import reason_count, severity_order, top_per_group
 
@@ -34,9 +34,12 @@ def bucket(word: Column, dim: int = EMBED_DIM) -> Column:
 def sparse_vector(text: Column, dim: int = EMBED_DIM) -> Column:
     """Counts per bucket of a text's words, as array<struct<bucket, tf>>; at most ``dim`` entries."""
     buckets = F.transform(words_of(F.lower(text)), lambda w: bucket(w, dim))
-    return F.transform(
-        F.array_distinct(buckets),
-        lambda b: F.struct(b.alias("bucket"), F.size(F.filter(buckets, lambda x: x == b)).cast("bigint").alias("tf")),
+    return let(
+        buckets,
+        lambda bs: F.transform(
+            F.array_distinct(bs),
+            lambda b: F.struct(b.alias("bucket"), F.size(F.filter(bs, lambda x: x == b)).cast("bigint").alias("tf")),
+        ),
     )
 
 
@@ -48,7 +51,7 @@ def postings(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """One row per (key, bucket) with its count and the squared norm of the whole vector."""
     rows = df.select(*keys, sparse_vector(text).alias("_v"))
     rows = rows.select(*keys, "_v", squared_norm(F.col("_v")).alias("norm2"))
-    return rows.select(*keys, "norm2", F.inline("_v"))
+    return rows.select(*keys, "norm2", F.inline_outer("_v")).where(F.col("bucket").isNotNull())
 
 
 def term_frequencies(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
