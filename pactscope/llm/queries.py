@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactscope.llm import exact, minhash
+from pactscope.llm import exact, minhash, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op7_minhash_near_dedup)}
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal_report(_table(spark, sf_dir, "documents"), length=400)
+
+
+QUERIES = {f.__name__: f for f in (op5_exact_dedup, op7_minhash_near_dedup, op8_suffix_array_dedup)}
 
 ORACLE = {
     "op5_exact_dedup": """
