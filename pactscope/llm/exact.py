@@ -82,6 +82,7 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK, hash_bits: int = 64) -
     """One row per row of docs: doc_id, keep_id (largest id of the equal texts), group_size, kept, text_sha256."""
     rows = identities(docs, block, hash_bits)
     groups = rows.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = cut(groups)
     each = rows.join(groups, ["level", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return each.select(
         "doc_id", "keep_id", "group_size",
