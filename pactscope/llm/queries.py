@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pactscope.llm import exact, minhash, suffix
+from pactscope.llm import exact, minhash, suffix, urls
+from pactscope.llm.url_sql import template_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +25,19 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_report(_table(spark, sf_dir, "documents"), length=400)
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op7_minhash_near_dedup, op8_suffix_array_dedup)}
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the document whose number ends its path: bad where the document's quality is 0."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    _, path = urls.host_and_path(F.col("url"))
+    doc = F.expr("try_cast(regexp_extract(path, '/([0-9]+)[^/]*/?$', 1) as bigint)")
+    numbered = pages.select("page_id", path.alias("path")).select("page_id", doc.alias("doc_id"))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("bad"))
+    judged = urls.judge(pages, numbered.join(labels, "doc_id").select("page_id", "bad"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+_ALL = [op5_exact_dedup, op7_minhash_near_dedup, op8_suffix_array_dedup, op9_url_filters]
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE = {
     "op5_exact_dedup": """
@@ -31,4 +45,5 @@ ORACLE = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op9_url_filters": template_sql(),
 }
