@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactscope.llm import exact, minhash, suffix, urls
+from pactscope.llm import exact, minhash, quality, records, suffix, urls
+from pactscope.llm.common import shared_folder
 from pactscope.llm.url_sql import template_sql
 
 
@@ -13,6 +17,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def learnable_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learned from."""
+    return _table(spark, sf_dir, "labels").filter(~_held_out()).select("doc_id", "quality")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.quality_scores(_table(spark, sf_dir, "documents"), learnable_labels(spark, sf_dir))
+    return scores.select("doc_id", _held_out().alias("held_out"), "score", "predicted")
+
+
+def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return records.read_digests(records.write_records(_table(spark, sf_dir, "documents"), folder, tokenizer, end_id=2))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -36,7 +60,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-_ALL = [op5_exact_dedup, op7_minhash_near_dedup, op8_suffix_array_dedup, op9_url_filters]
+_ALL = [op1_quality_classifier, op4_token_id_output, op5_exact_dedup, op7_minhash_near_dedup, op8_suffix_array_dedup, op9_url_filters]
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE = {
