@@ -30,8 +30,8 @@ from pactscope.llm import common
 BUCKETS, WIDTH, GRAMS = 1 << 17, 16, (2, 3, 4)
 #: Bounds of the training sample: labelled rows, and distinct features of all of them.
 SAMPLE, FEATURES = 6_000, 12_000_000
-#: Passes over the sample, first learning rate, rows of one step, documents with at least this score are kept.
-EPOCHS, RATE, STEP, KEEP = 5, 0.5, 1, 0.7
+#: Least passes over the sample and least steps in all, first learning rate; documents with at least this score are kept.
+EPOCHS, STEPS, RATE, KEEP = 5, 20_000, 0.5, 0.7
 
 _AGAIN = np.uint64(1)
 _BLANKS = np.zeros(0x110000, bool)
@@ -87,8 +87,9 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
     r = np.random.default_rng(5)
     vectors = r.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     output = np.zeros((2, WIDTH), np.float32)
-    left, total = 0, EPOCHS * len(examples)
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // len(examples)))
+    left, total = 0, epochs * len(examples)
+    for _ in range(epochs):
         for k in r.permutation(len(examples)):
             ids, counts, y = examples[k]
             weights = (counts / counts.sum()).astype(np.float32)
