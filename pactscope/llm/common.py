@@ -56,10 +56,14 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
-def numbered(keys: DataFrame, name: str = "name") -> DataFrame:
-    """Distinct rows of keys, sorted over all partitions, each with an integer name in that order (cut)."""
-    columns = keys.columns
-    ordered = keys.distinct().repartitionByRange(*columns).sortWithinPartitions(*columns)
+def numbered(keys: DataFrame, name: str = "name", rows: int | None = None) -> DataFrame:
+    """Distinct rows of keys, sorted over all partitions, each with an integer name in that order (cut).
+
+    rows: about so many in a partition; names are numbered in a row within one.
+    """
+    columns, keys = keys.columns, keys.distinct()
+    parts = [max(1, keys.count() // rows)] if rows else []
+    ordered = keys.repartitionByRange(*parts, *columns).sortWithinPartitions(*columns)
     return cut(ordered.withColumn(name, F.monotonically_increasing_id()))
 
 

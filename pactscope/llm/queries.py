@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactscope.llm import ann, exact, minhash, quality, records, suffix, urls
+from pactscope.llm import ann, exact, minhash, packing, quality, records, suffix, urls
 from pactscope.llm.common import shared_folder
 from pactscope.llm.url_sql import template_sql
 
@@ -31,6 +31,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", _held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op3_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -64,7 +68,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-_ALL = [op1_quality_classifier, op3_approximate_nearest_neighbours, op4_token_id_output, op5_exact_dedup, op7_minhash_near_dedup, op8_suffix_array_dedup, op9_url_filters]
+_ALL = [op1_quality_classifier, op2_best_fit_packing, op3_approximate_nearest_neighbours, op4_token_id_output, op5_exact_dedup, op7_minhash_near_dedup, op8_suffix_array_dedup, op9_url_filters]
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE = {
