@@ -11,8 +11,10 @@ way (by doubling once its alphabet is large), and the order of all suffixes is i
 passes. Common prefixes are computed in text order: only irreducible ones are compared, the others follow from the one
 before. A window repeats if its common prefix with a neighbour is long enough, or if its segment was counted twice.
 
-Text is shuffled once (Spark reuses that exchange for the final cut), candidate segments twice after equal ones have been
-combined. An anchor shared by many different segments stays one shard's work; equal segments are combined before.
+Text is shuffled once: Spark reuses that exchange for finding segments, for cutting them out and for the final cut. Equal
+segments are combined by digests before any of their bytes move: one owner of each different segment sends it to its shard.
+A counted segment that is alone with its anchor needs no shard, all its windows repeat. An anchor shared by many different
+segments stays one shard's work.
 
 Edge cases: null counts as empty; texts shorter than a window keep all bytes. Rows that repeat id and text repeat each
 other. An empty table gives an empty result. Other columns of the input are not looked at.
@@ -25,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactscope.llm import common
-from pactscope.llm.common import cut, fresh, text_bytes
+from pactscope.llm.common import fresh, text_bytes
 
 #: Bytes hashed for an anchor.
 GRAM = 48
@@ -286,40 +288,55 @@ def _located(length: int):
     return run
 
 
-def _cut_out(length: int):
-    """The segments of a text whose anchors are in its list."""
+def _parted(length: int):
+    """The segments of a text whose anchors are in its list: where they start, how many windows, anchor, digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, places, anchors, digests, strings = [], [], [], [], []
+            at, places, windows, anchors, digests = [], [], [], [], []
             for k, (text, wanted) in enumerate(zip(batch["data"], batch["anchors"], strict=True)):
                 text = text.as_py()
                 first, last, anchor = _segments(text, length)
                 keep = np.isin(anchor, np.array(wanted.as_py(), np.int64).astype(np.uint64))
-                for a, b, x in zip(first[keep].tolist(), last[keep].tolist(), anchor[keep].astype(np.int64).tolist(), strict=True):
-                    at.append(k)
-                    places.append(a)
-                    anchors.append(x)
-                    strings.append(text[a : b + length])
-                    digests.append(hashlib.blake2b(strings[-1], digest_size=16).digest())
-                if len(strings) > 20_000:
-                    yield _rows(batch, at, places, anchors, digests, strings)
-                    at, places, anchors, digests, strings = [], [], [], [], []
-            yield _rows(batch, at, places, anchors, digests, strings)
-
-    def _rows(batch, at, places, anchors, digests, strings):
-        at = pa.array(at, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [batch["doc_id"].take(at), batch["mark"].take(at), pa.array(places, pa.int64()), pa.array(anchors, pa.int64()),
-             pa.array(digests, pa.binary()), pa.array(strings, pa.binary())],
-            names=["doc_id", "mark", "place", "anchor", "digest", "string"],
-        )
+                first, last = first[keep], last[keep]
+                at.append(np.full(len(first), k))
+                places.append(first)
+                windows.append(last - first + 1)
+                anchors.append(anchor[keep].astype(np.int64))
+                digests += [
+                    hashlib.blake2b(text[a : b + length], digest_size=16).digest()
+                    for a, b in zip(first.tolist(), last.tolist(), strict=True)
+                ]
+            if at:
+                at = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].take(at), batch["mark"].take(at), *(pa.array(np.concatenate(c)) for c in (places, windows, anchors)),
+                     pa.array(digests, pa.binary())],
+                    names=["doc_id", "mark", "place", "windows", "anchor", "digest"],
+                )
+
+    return run
+
+
+def _sent(length: int):
+    """The bytes of the segments that a text owns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                {"shard": x["shard"], "digest": x["digest"], "copies": x["copies"],
+                 "string": text[x["place"] : x["place"] + x["windows"] + length - 1]}
+                for text, owned in zip((t.as_py() for t in batch["data"]), (o.as_py() for o in batch["owned"]), strict=True)
+                for x in owned
+            ]
+            kinds = {"shard": pa.int64(), "digest": pa.binary(), "copies": pa.int64(), "string": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in kinds.items()], names=list(kinds))
 
     return run
 
 
 def _matched(length: int):
-    """Of one shard: the digest of each segment with repeated windows, and runs of their starts as pairs of 32 bits."""
+    """Of one shard: the digest of each segment with repeated windows, and the first and last start of each run of them."""
 
     def run(table: pa.Table) -> pa.Table:
         starts = repeated_starts(table["string"].to_pylist(), table["copies"].to_pylist(), length)
@@ -327,8 +344,8 @@ def _matched(length: int):
         for x in starts:
             begins = np.flatnonzero(np.r_[True, np.diff(x) != 1]) if len(x) else x
             lasts = np.r_[begins[1:] - 1, len(x) - 1] if len(x) else x
-            runs.append(np.stack([x[begins], x[lasts]], 1).astype(np.int32).tobytes() if len(x) else b"")
-        out = pa.table({"digest": table["digest"], "runs": pa.array(runs, pa.binary())})
+            runs.append(np.stack([x[begins], x[lasts]], 1).ravel().tolist() if len(x) else [])
+        out = pa.table({"digest": table["digest"], "runs": pa.array(runs, pa.list_(pa.int64()))})
         return out.filter(pa.array([bool(r) for r in runs], pa.bool_()))
 
     return run
@@ -337,19 +354,31 @@ def _matched(length: int):
 def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
     """From texts (doc_id, mark, data), mark a hash of data: doc_id, mark, runs [(place, starts of repeated windows)]."""
     kind = texts.schema["doc_id"].dataType.simpleString()
-    located = cut(texts.mapInArrow(_located(length), f"doc_id {kind}, mark long, anchor long, places int"))
-    repeated = located.groupBy("anchor").agg(F.sum("places").alias("places")).filter("places > 1").select("anchor")
     shards = max(1, (texts.agg(F.sum(F.length("data"))).first()[0] or 0) // SHARD_BYTES)
 
+    def of_texts(found: DataFrame, column: str) -> DataFrame:
+        found = found.select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), column)
+        same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m"))
+        return texts.join(found, same).select("doc_id", "mark", "data", column)
+
+    located = texts.mapInArrow(_located(length), f"doc_id {kind}, mark long, anchor long, places int")
+    repeated = located.groupBy("anchor").agg(F.sum("places").alias("places")).filter("places > 1").select("anchor")
     lists = located.join(repeated, "anchor", "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("anchor").alias("anchors"))
-    listed = texts.join(lists.select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), "anchors"),
-                        F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")))
-    segments = listed.select("doc_id", "mark", "data", "anchors").mapInArrow(
-        _cut_out(length), f"doc_id {kind}, mark long, place long, anchor long, digest binary, string binary"
+    segments = of_texts(lists, "anchors").mapInArrow(
+        _parted(length), f"doc_id {kind}, mark long, place long, windows long, anchor long, digest binary"
+    )
+    strings = segments.groupBy("anchor", "digest").agg(
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "mark", "place", "windows")).alias("owner")
     )
-    strings = segments.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.first("string").alias("string"))
-    strings = strings.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    matched = strings.groupBy("shard").applyInArrow(_matched(length), "digest binary, runs binary")
+    strings = strings.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("anchor")))
+    alone = (F.col("kinds") == 1) & (F.col("copies") > 1)
+    whole = strings.filter(alone).select("digest", F.array(F.lit(0).cast("long"), F.col("owner.windows") - 1).alias("runs"))
+    owned = strings.filter(~alone).select(
+        "owner.doc_id", "owner.mark", F.struct("owner.place", "owner.windows", "digest", "copies",
+                                               F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).alias("one")
+    ).groupBy("doc_id", "mark").agg(F.collect_list("one").alias("owned"))
+    sent = of_texts(owned, "owned").mapInArrow(_sent(length), "shard long, digest binary, copies long, string binary")
+    matched = whole.unionByName(sent.groupBy("shard").applyInArrow(_matched(length), "digest binary, runs array<long>"))
     found = segments.select("doc_id", "mark", "place", "digest").join(matched, "digest")
     return found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("place", "runs")).alias("runs"))
 
@@ -358,7 +387,7 @@ def _spans(runs: list[dict] | None, length: int) -> list[tuple[int, int]]:
     """The maximal covered byte ranges."""
     if not runs:
         return []
-    pairs = np.concatenate([np.frombuffer(r["runs"], np.int32).reshape(-1, 2).astype(np.int64) + r["place"] for r in runs])
+    pairs = np.concatenate([np.array(r["runs"], np.int64).reshape(-1, 2) + r["place"] for r in runs])
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     begins, ends = pairs[:, 0], np.maximum.accumulate(pairs[:, 1] + length)
     new = np.flatnonzero(np.r_[True, begins[1:] > ends[:-1]])
@@ -375,7 +404,8 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _with_runs(docs: DataFrame, length: int, mark: str, data: str, runs: str) -> DataFrame:
     """docs with three more columns: a hash of the text, its bytes, and the runs of repeated windows (null: none)."""
-    texts = docs.withColumn(data, text_bytes()).withColumn(mark, F.xxhash64(data))
+    others = [c for c in docs.columns if c != "doc_id"]
+    texts = docs.select("doc_id", F.xxhash64(text_bytes()).alias(mark), text_bytes().alias(data), *others)
     found = repeated_runs(texts.select("doc_id", F.col(mark).alias("mark"), F.col(data).alias("data")), length)
     key = fresh(texts, "found_id"), fresh(texts, "found_mark")
     found = found.toDF(*key, runs)
@@ -402,7 +432,7 @@ def _digested(length: int):
 def removal_report(docs: DataFrame, length: int = 400) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that stay."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = _with_runs(docs.select("doc_id", "text"), length, "mark", "data", "runs")
+    found = _with_runs(docs.select("doc_id", "text"), length, "mark", "data", "runs").drop("text")
     return found.select("doc_id", "data", "runs").mapInArrow(
         _digested(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
