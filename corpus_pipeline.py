@@ -6,8 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactscope.llm import exact, minhash
+from pactscope.llm import exact, minhash, packing, quality, suffix
 from pactscope.llm.common import shared_folder
+from pactscope.llm.queries import learnable_labels
+
+#: Bytes of a repeated passage: below 50 words of the shortest kind, far above what texts share by chance.
+PASSAGE = 200
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, learnable_labels(spark, sf_dir))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +29,23 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return minhash.keep_one_of_each(docs, words=5, percent=80)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("minhash_near_dedup", minhash_near_dedup)]
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of PASSAGE bytes or more that stand elsewhere too are cut out of all texts."""
+    return suffix.remove_repeats(docs, PASSAGE)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document that is left, in pieces, each with its place in a sequence."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_dedup),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: Stages hold a trained model, minhashing and bin packing, which SQL can't express; tests compare with brute force.
 ORACLE_SQL = None

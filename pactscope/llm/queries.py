@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactscope.llm import ann, exact, minhash, packing, quality, records, suffix, urls
+from pactscope.llm import ann, counts, exact, minhash, packing, pieces, quality, records, suffix, urls
 from pactscope.llm.common import shared_folder
 from pactscope.llm.url_sql import template_sql
 
@@ -49,6 +49,26 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inserted under one tokenizer version (and that batch sent twice), all under the next version, toxic ones
+    deleted, counts of good ones revised by one end mark; the totals after that."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    rollups = counts.Rollups(spark, f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}")
+    for _ in range(2):
+        rollups.commit(1, counts.counted(docs, "words-1"))
+    both = counts.counted(docs, "words-2")
+    rollups.commit(2, both)
+    good = labels.filter("quality = 1").select("doc_id").distinct()
+    revised = both.join(good, "doc_id", "left_semi").withColumns({"op": F.lit("revise"), "tokens": F.col("tokens") + 1})
+    rollups.commit(3, revised)
+    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
+    versions = F.explode(F.array(*[F.lit(v) for v in counts.PATTERNS])).alias("version")
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("source", "lang")]
+    deleted = toxic.select("doc_id", versions, F.lit("delete").alias("op"), *nothing, F.lit(0).alias("tokens"), F.lit(0).alias("seq"))
+    rollups.commit(4, deleted)
+    return rollups.totals()
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -68,7 +88,19 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-_ALL = [op1_quality_classifier, op2_best_fit_packing, op3_approximate_nearest_neighbours, op4_token_id_output, op5_exact_dedup, op7_minhash_near_dedup, op8_suffix_array_dedup, op9_url_filters]
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of the conversations, encoded and decoded again."""
+    table = pieces.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    turns, keys = _table(spark, sf_dir, "conversations"), ["conv_id", "turn", "text"]
+    spoken = pieces.encode(turns.withColumn("text", F.coalesce("text", F.lit(""))), table, keys)
+    back = pieces.decode(spoken.withColumnRenamed("text", "whole"), table, ["conv_id", "turn", "whole"])
+    return back.select("conv_id", "turn", F.size("ids").cast("long").alias("n_pieces"),
+                       F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"),
+                       (F.col("text") == F.col("whole")).alias("round_trip"))
+
+
+_ALL = [op1_quality_classifier, op2_best_fit_packing, op3_approximate_nearest_neighbours, op4_token_id_output, op5_exact_dedup, op6_token_counts, op7_minhash_near_dedup,
+        op8_suffix_array_dedup, op9_url_filters, op10_sentencepiece]
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE = {
@@ -77,5 +109,13 @@ ORACLE = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op6_token_counts": rf"""
+        WITH marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        counted AS (SELECT d.doc_id, source, lang, version, len(regexp_extract_all(coalesce(text, ''), pattern)) AS tokens
+          FROM documents d, (VALUES ('words-1', '{counts.PATTERNS["words-1"]}'), ('words-2', '{counts.PATTERNS["words-2"]}')) v(version, pattern))
+        SELECT source, lang, version, count(*) AS docs,
+               CAST(sum(tokens + CASE WHEN good AND version = 'words-2' THEN 1 ELSE 0 END) AS BIGINT) AS tokens
+        FROM counted LEFT JOIN marks USING (doc_id) WHERE toxic IS NOT TRUE GROUP BY source, lang, version
+    """,
     "op9_url_filters": template_sql(),
 }
