@@ -67,19 +67,8 @@ def pages_of(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.col("pos") + 1).cast("int").alias("page_no"), clean_text(F.col("page")).alias("text"))
 
 
-def oversize_documents(pages: DataFrame, max_bytes: int = lex.MAX_UPLOAD_BYTES) -> DataFrame:
-    """Documents whose pages add up to more than an admissible file."""
-    sizes = pages.groupBy("doc_id").agg(F.sum(F.octet_length("text").cast("bigint")).alias("_bytes"))
-    return sizes.where(F.col("_bytes") > max_bytes).select("doc_id")
-
-
-def assemble_full_text(pages: DataFrame, max_bytes: int = lex.MAX_UPLOAD_BYTES) -> DataFrame:
-    """S3: non-blank pages in order, separated by a blank line.
-
-    A document becomes one value, so its size is checked first: what exceeds the admission limit would
-    have been rejected as a file and is left out (see ``oversize_documents``), never gathered.
-    """
-    admitted = pages.join(oversize_documents(pages, max_bytes), "doc_id", "left_anti")
+def assemble_full_text(pages: DataFrame) -> DataFrame:
+    """S3: non-blank pages in order, separated by a blank line; every document, whatever its size."""
     page = F.when(strip(F.col("text")) != "", F.struct("page_no", "text"))
-    gathered = admitted.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("_p"))
+    gathered = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("_p"))
     return gathered.select("doc_id", F.array_join(F.col("_p.text"), "\n\n").alias("text"))

@@ -28,9 +28,14 @@ def reason_count() -> Column:
     return F.greatest(F.size(F.coalesce("risk_reasons", F.array().cast("array<string>"))), F.lit(0))
 
 
-def rank_risk_clauses(assessed: DataFrame, limit: int = 7) -> DataFrame:
-    """Materially risky clauses by level, score and number of reasons; ties keep document order."""
+def rank_risk_clauses(assessed: DataFrame, limit: int = 7, counted: str | None = None) -> DataFrame:
+    """Materially risky clauses by level, score and number of reasons; ties keep document order.
+
+    ``counted`` names a column for how many of them the contract has, before the cut.
+    """
     risky = assessed.where(is_materially_risky())
+    if counted:
+        risky = risky.withColumn(counted, F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
     return top_per_group(risky, ["doc_id"], [*severity_order(), reason_count().desc(), F.col("idx")], limit)
 
 
@@ -97,7 +102,7 @@ def applicable_suggestion(context: DataFrame, keys: list[str], position: str) ->
 
 def material_risk_report(assessed: DataFrame, documents: DataFrame, asked: int = 5, limit: int = 7) -> DataFrame:
     """Numbered material clauses per contract; one "none" row for a contract without any."""
-    ranked = rank_risk_clauses(assessed, limit).withColumn("_counter", counter_proposal())
+    ranked = rank_risk_clauses(assessed, limit, counted="n_material").withColumn("_counter", counter_proposal())
     lines = ranked.select(
         "doc_id",
         F.col("rank").cast("bigint").alias("ord"),
@@ -106,9 +111,9 @@ def material_risk_report(assessed: DataFrame, documents: DataFrame, asked: int =
         "summary",
         F.concat(F.lit("[CITE:"), "clause_id", F.lit("]")).alias("citation"),
         F.when(F.col("rank") == 1, F.col("_counter")).alias("counter_proposal"),
+        "n_material",
     )
-    counts = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_material"))
-    report = documents.select("doc_id").join(counts, "doc_id", "left").join(lines, "doc_id", "left")
+    report = documents.select("doc_id").join(lines, "doc_id", "left")
     n = F.coalesce("n_material", F.lit(0))
     return report.select(
         "doc_id",

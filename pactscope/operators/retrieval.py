@@ -95,7 +95,8 @@ def retrieve_top_k(questions: DataFrame, clauses: DataFrame, k: int = 4) -> Data
     (ties in document order). One candidate more than k tells the two cases apart.
     """
     scored = cosine_scores(questions, clauses).select(*QUESTION_KEYS, "idx", "score")
-    leading = clauses.where(F.col("idx") <= k + 1).select("doc_id", "idx", F.lit(0.0).alias("score"))
+    leading = top_per_group(clauses.select("doc_id", "idx"), ["doc_id"], [F.col("idx")], k + 1, rank="_r")
+    leading = leading.select("doc_id", "idx", F.lit(0.0).alias("score"))
     fillers = questions.select(*QUESTION_KEYS).join(leading, "doc_id").select(*QUESTION_KEYS, "idx", "score")
     candidates = scored.unionByName(fillers).groupBy(*QUESTION_KEYS, "idx").agg(F.max("score").alias("score"))
     best = top_per_group(candidates, QUESTION_KEYS, [F.col("score").desc(), F.col("idx")], k + 1, rank="_rank")
@@ -108,21 +109,24 @@ def retrieve_top_k(questions: DataFrame, clauses: DataFrame, k: int = 4) -> Data
 
 
 # -- X9 ---------------------------------------------------------------------
-def clause_number(clause_id: Column) -> Column:
-    """Position in the contract of an id such as ``clause_7``; null for anything else."""
-    return F.try_to_number(F.regexp_extract(clause_id, r"^clause_(\d{1,9})\z", 1), F.lit("999999999")).cast("int")
+def selected_clauses(questions: DataFrame, clauses: DataFrame) -> DataFrame:
+    """The clause a question points at, found by its id, with the positions of the clauses before and after it."""
+    order = Window.partitionBy("doc_id").orderBy("idx")
+    placed = clauses.select(
+        "doc_id", F.col("clause_id").alias("selected_clause_id"), "idx",
+        F.lag("idx").over(order).alias("_before"), F.lead("idx").over(order).alias("_after"),
+    )
+    wanted = questions.where(F.col("selected_clause_id").isNotNull()).select(*QUESTION_KEYS, "selected_clause_id")
+    return wanted.join(placed, ["doc_id", "selected_clause_id"]).drop("selected_clause_id")
 
 
 def clause_with_neighbours(questions: DataFrame, clauses: DataFrame) -> DataFrame:
     """The selected clause (ord 1), the one before (2) and the one after (3), where they exist."""
-    wanted = questions.where(F.col("selected_clause_id").isNotNull()).select(
-        *QUESTION_KEYS, clause_number(F.col("selected_clause_id")).alias("_at")
-    )
-    steps = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(d).alias("d")) for o, d in ((1, 0), (2, -1), (3, 1))])
-    spread = wanted.select(*QUESTION_KEYS, "_at", F.inline(steps)).select(
-        *QUESTION_KEYS, "ord", (F.col("_at") + F.col("d")).alias("idx")
+    steps = F.array(*[F.struct(F.lit(o).alias("ord"), F.col(c).alias("idx")) for o, c in ((1, "idx"), (2, "_before"), (3, "_after"))])
+    return (
+        selected_clauses(questions, clauses).select(*QUESTION_KEYS, F.inline(steps))
+        .where(F.col("idx").isNotNull()).select(*QUESTION_KEYS, "idx", "ord")
     )
-    return spread.join(clauses.select("doc_id", "idx"), ["doc_id", "idx"]).select(*QUESTION_KEYS, "idx", "ord")
 
 
 # -- U1 ---------------------------------------------------------------------
@@ -199,16 +203,11 @@ def keyword_hits(questions: DataFrame, clauses: DataFrame) -> DataFrame:
 
 def keyword_context(questions: DataFrame, clauses: DataFrame, k: int = 7) -> DataFrame:
     """The selected clause, then clauses by keyword hits, then document order, k in all."""
-    selected = (
-        questions.select(*QUESTION_KEYS, clause_number(F.col("selected_clause_id")).alias("idx"))
-        .where(F.col("idx").isNotNull())
-        .join(clauses.select("doc_id", "idx"), ["doc_id", "idx"])
-    )
+    selected = selected_clauses(questions, clauses)
     hits = keyword_hits(questions, clauses)
     best = top_per_group(hits, QUESTION_KEYS, [F.col("hits").desc(), F.col("idx")], k, rank="_r")
-    leading = questions.select(*QUESTION_KEYS).join(
-        clauses.where(F.col("idx") <= k).select("doc_id", "idx"), "doc_id"
-    )
+    first = top_per_group(clauses.select("doc_id", "idx"), ["doc_id"], [F.col("idx")], k, rank="_r")
+    leading = questions.select(*QUESTION_KEYS).join(first.drop("_r"), "doc_id")
     lists = [
         selected.select(*QUESTION_KEYS, "idx", F.lit(1).alias("pos")),
         best.select(*QUESTION_KEYS, "idx", F.col("_r").alias("pos")),

@@ -111,34 +111,25 @@ def risk_pages(assessed: DataFrame) -> DataFrame:
 def portfolio_rollup(assessed: DataFrame) -> DataFrame:
     """A10: clauses, contracts and mean score by category and level, with subtotals.
 
-    Contracts are counted from one row per (contract, category, level), so no task sees all ids of a group.
+    A contract gives one row per category and level, one per category and one in all, so counting rows counts contracts.
+    Subtotals are told from missing categories by their grouping, not by null.
     """
-    cells = assessed.groupBy("category", "risk_level", "doc_id").agg(
+    cells = assessed.groupBy("doc_id", "category", "risk_level").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("unfairness").cast("bigint")).alias("u")
     )
-    clause_totals = cells.rollup("category", "risk_level").agg(
-        F.sum("n").alias("clause_count"), F.sum("u").alias("score_sum")
+    sets = [[F.col(c) for c in names] for names in (["doc_id", "category", "risk_level"], ["doc_id", "category"], ["doc_id"])]
+    levels = cells.groupingSets(sets, "doc_id", "category", "risk_level").agg(
+        F.sum("n").alias("n"), F.sum("u").alias("u"), F.grouping_id().alias("_of")
     )
-    per_category = cells.select("category", "doc_id").distinct()
-    contracts = (
-        cells.groupBy("category", "risk_level").agg(F.count(F.lit(1)).alias("contract_count"))
-        .unionByName(
-            per_category.groupBy("category").agg(F.count(F.lit(1)).alias("contract_count"))
-            .withColumn("risk_level", F.lit(None).cast("string"))
-        )
-        .unionByName(
-            cells.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("contract_count"))
-            .withColumns({"risk_level": F.lit(None).cast("string"), "category": F.lit(None).cast("string")})
-        )
+    totals = levels.groupBy("category", "risk_level", "_of").agg(
+        F.sum("n").alias("clause_count"), F.sum("u").alias("_sum"), F.count(F.lit(1)).alias("contract_count")
     )
-    t, c = clause_totals.alias("t"), contracts.alias("c")
-    on = F.col("t.category").eqNullSafe(F.col("c.category")) & F.col("t.risk_level").eqNullSafe(F.col("c.risk_level"))
-    return t.join(c, on).select(
-        F.coalesce("t.category", F.lit("ALL")).alias("category"),
-        F.coalesce("t.risk_level", F.lit("ALL")).alias("risk_level"),
+    return totals.select(
+        F.when(F.col("_of") == 3, F.lit("ALL")).otherwise(F.col("category")).alias("category"),
+        F.when(F.col("_of") > 0, F.lit("ALL")).otherwise(F.col("risk_level")).alias("risk_level"),
         "clause_count",
         "contract_count",
-        F.round(F.col("score_sum") / F.col("clause_count"), 6).alias("mean_unfairness"),
+        F.round(F.col("_sum") / F.col("clause_count"), 6).alias("mean_unfairness"),
     )
 
 

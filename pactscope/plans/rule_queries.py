@@ -257,7 +257,7 @@ def r24(spark, sf_dir):
     oc.ASSESSED + f""", top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {oc.RANK_ORDER}) AS rn,
         lower(title || ' ' || text || ' ' || array_to_string(risk_reasons, ' ')) AS said
         FROM asd WHERE {oc.MATERIAL} QUALIFY rn <= 7),
-      n AS (SELECT doc_id, count(*) AS n FROM top GROUP BY doc_id)
+      n AS (SELECT doc_id, count(*) AS n FROM asd WHERE {oc.MATERIAL} GROUP BY doc_id)
       SELECT c.doc_id, CAST(coalesce(rn, 0) AS BIGINT) AS ord, coalesce(title, 'none') AS title,
         coalesce(risk_level, '') AS risk_level, coalesce(summary, '') AS summary,
         coalesce('[CITE:' || clause_id || ']', '') AS citation,

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from pactscope.plans import catalogue
 from tools.check import rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -18,8 +19,8 @@ QUICK = [
 ]
 
 
-def test_every_query_has_sql():
-    assert set(entry_point.oracle_sql()) == set(entry_point.queries())
+def test_every_query_of_the_library_has_sql():
+    assert set(catalogue.ORACLE) == set(catalogue.QUERIES)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")

@@ -77,9 +77,11 @@ def test_overlaps(spark):
     assert sorted(r.idx for r in spans.non_overlapping_spans(df).collect()) == [1, 3, 4]
 
 
-def test_oversize_documents_are_left_out(spark):
+def test_documents_of_any_size_are_assembled(spark):
     pages = spark.createDataFrame([(1, 1, "abc"), (1, 2, ""), (1, 3, "d"), (2, 1, "x" * 50)], "doc_id long, page_no int, text string")
-    assert [tuple(r) for r in prepare.assemble_full_text(pages, max_bytes=20).collect()] == [(1, "abc\n\nd")]
+    pages = pages.unionByName(pages.selectExpr("3L as doc_id", "1 as page_no", "repeat('y', 27000000) as text").limit(1))
+    got = prepare.assemble_full_text(pages).selectExpr("doc_id", "left(text, 10)", "length(text)").collect()
+    assert sorted(map(tuple, got)) == [(1, "abc\n\nd", 6), (2, "x" * 10, 50), (3, "y" * 10, 27_000_000)]
 
 
 def test_batches(spark):
