@@ -89,23 +89,24 @@ class Encoder:
 
     def _known(self, kept: dict[str, bytes], pieces: set[str], blank: str) -> dict[str, bytes]:
         new = list(pieces - kept.keys())
+        found = dict(zip(new, self.whole([blank + p for p in new]), strict=True))
         if len(kept) + len(new) > KEPT:
-            kept = {p: kept[p] for p in pieces & kept.keys()}
-        kept.update(zip(new, self.whole([blank + p for p in new]), strict=True))
+            return {p: kept[p] for p in pieces & kept.keys()} | found
+        kept.update(found)
         return kept
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        rows = [None if self.special(t) else [_BLANKS(line) for line in _LINES(t)] for t in texts]
+        rows = [None if self.special(t) else [(p[0], p[1:]) for p in map(_BLANKS, _LINES(t))] for t in texts]
         first, later = set(), set()
         for row in filter(None, rows):
-            for line in row:
-                first.add(line[0])
-                later.update(line[1:])
+            for start, rest in row:
+                first.add(start)
+                later.update(rest)
         head = self._known(self.heads, first, "").__getitem__
         tail = self._known(self.tails, later, " ").__getitem__
         return [
             self.whole([t])[0] if row is None
-            else self.line.join([b"".join([head(line[0]), *map(tail, line[1:])]) for line in row])
+            else self.line.join([head(start) + b"".join(map(tail, rest)) for start, rest in row])
             for t, row in zip(texts, rows, strict=True)
         ]
 
@@ -144,8 +145,8 @@ def _written(held, folder: str, end_id: int):
             return pa.RecordBatch.from_pylist([row])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 1000):
+                piece = batch.slice(at, 1000)
                 texts = [t or "" for t in piece["text"].to_pylist()]
                 for doc_id, ids in zip(piece["doc_id"].to_pylist(), encoder.encode(texts), strict=True):
                     if out is None:
