@@ -60,11 +60,11 @@ def s1(spark, sf_dir):
     return out.select("doc_id", "page_no", F.md5("t").alias("digest"))
 
 
-@query("p3_normalize_ws", f"x AS (SELECT 1) SELECT doc_id, length({squeeze('text')}) AS n, md5({squeeze('text')}) AS digest FROM documents")
+@query("p3_normalize_ws", f"x AS (SELECT 1) SELECT doc_id, length({squeeze('text')}) AS n, md5(lower({squeeze('text')})) AS digest FROM documents")
 def p3(spark, sf_dir):
-    from pactscope.functions.text import squeeze as squeezed
+    from pactscope.functions.text import normalize_ws
 
-    out = corpus.table(spark, sf_dir, "documents").select("doc_id", squeezed(F.col("text")).alias("t"))
+    out = corpus.table(spark, sf_dir, "documents").select("doc_id", normalize_ws(F.col("text")).alias("t"))
     return out.select("doc_id", F.length("t").cast("bigint").alias("n"), F.md5("t").alias("digest"))
 
 

@@ -338,15 +338,18 @@ def f3(spark, sf_dir):
 @query(
     "f4_is_global_risk_query",
     oc.QUESTION_VALUES + f""", asked AS (
-        SELECT conv_id, turn, q.message || ' ' || substr(text, 1, 0) AS message
+        SELECT conv_id, turn, CASE (conv_id + turn) % 3 WHEN 0 THEN q.message WHEN 1 THEN coalesce(text, '')
+          ELSE coalesce(text, '') || ' ' || q.message END AS message
         FROM conversations c JOIN question q ON q.q_id = (c.conv_id + c.turn) % {len(corpus.QUESTIONS)})
       SELECT conv_id, turn, CAST({oc.global_question('message')} AS BIGINT) AS is_global FROM asked""",
 )
 def f4(spark, sf_dir):
     questions = F.array(*[F.lit(m) for m in corpus.QUESTIONS])
-    picked = F.get(questions, ((F.col("conv_id") + F.col("turn")) % len(corpus.QUESTIONS)).cast("int"))
+    at = F.col("conv_id") + F.col("turn")
+    picked, said = F.get(questions, (at % len(corpus.QUESTIONS)).cast("int")), F.coalesce("text", F.lit(""))
+    message = F.when(at % 3 == 0, picked).when(at % 3 == 1, said).otherwise(F.concat(said, F.lit(" "), picked))
     return corpus.table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", flag(predicates.is_global_risk_question(picked)).alias("is_global")
+        "conv_id", "turn", flag(predicates.is_global_risk_question(message)).alias("is_global")
     )
 
 
