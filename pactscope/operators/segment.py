@@ -25,7 +25,8 @@ from pactscope.functions.text import (
 )
 from pactscope.operators.prepare import with_title_block
 
-MARK, END = "\u0001", "\u0002"
+# Two code points that Unicode reserves for use inside a program; text that holds them all the same gets U+FFFD there.
+MARK, END = "\ufdd0", "\ufdd1"
 EDGE = " :.-"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -33,6 +34,7 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 # -- G1 ---------------------------------------------------------------------
 def _marked(text: Column, pattern: str) -> Column:
     """Parts of ``text`` that start with a match; what precedes the first match is dropped."""
+    text = F.translate(text, MARK + END, "\ufffd\ufffd")
     marked = F.regexp_replace(text, f"(?dm)({pattern})", MARK + "$1" + END)
     return let(F.split(marked, MARK), lambda parts: F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))))
 
