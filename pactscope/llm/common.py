@@ -64,6 +64,7 @@ def numbered(keys: DataFrame, name: str = "name", rows: int | None = None) -> Da
     columns, keys = keys.columns, keys.distinct()
     parts = [max(1, keys.count() // rows)] if rows else []
     ordered = keys.repartitionByRange(*parts, *columns).sortWithinPartitions(*columns)
+    ordered = ordered.coalesce(*parts) if rows else ordered
     return cut(ordered.withColumn(name, F.monotonically_increasing_id()))
 
 
