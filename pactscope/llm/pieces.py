@@ -7,8 +7,8 @@ gives the edges of the lattice; characters without a piece get an edge of the un
 word, and two higher-order aggregates fold the best scores forward and the best path back (largest sum of scores; ties go to
 the longer last piece). Unknown characters become their byte pieces.
 
-Words are combined before any shuffle, so a very common word costs one row per task; joining words back to texts has a skewed
-side that Spark can split. The piece table is of fixed size and broadcast. The lattice of a word is one row: a text without
+Words are combined before they are solved, so a very common word costs one row per task; joining paths back to every
+occurrence of a word has a skewed side. The piece table is of fixed size: broadcast to encode, one array to decode. The lattice of a word is one row: a text without
 any blank is one word, whose edges grow with its length times the longest piece.
 
 Edge cases: null and empty texts have no pieces and decode to the empty text. Repeated rows are encoded each. An empty table
@@ -20,8 +20,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactscope.llm.common import cut
-
 #: Fixed value: what an unknown character scores below the worst piece.
 UNKNOWN = 10.0
 MARK = "▁"
@@ -98,29 +96,30 @@ def best_paths(lattices: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def encode(texts: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per row of texts: its keys and ids, the piece ids of its whole text."""
-    rows = texts.select(*[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)], words_of(F.col("text")).alias("words"))
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    """One row per row of texts: its keys and ids, the piece ids of its whole text.
+
+    Keys travel with the first word of a row only; a row without words has one null word. texts must give its rows in the
+    same order if a task is run again, as files do.
+    """
     names = [f"key{i}" for i in range(len(keys))]
-    placed = rows.select("row", F.posexplode("words").alias("pos", "word"))
-    solved = cut(best_paths(lattice(placed.select("word").distinct(), pieces), pieces))
-    lists = placed.join(solved, "word").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    whole = F.coalesce(F.flatten(F.transform("parts", lambda p: p["ids"])), F.array().cast("array<int>"))
-    return rows.select("row", *names).join(lists, "row", "left").select(*names, whole.alias("ids")).toDF(*keys, "ids")
+    held = F.struct(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
+    rows = texts.select(held.alias("held"), words_of(F.col("text")).alias("words"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    placed = rows.select("row", "held", F.posexplode_outer("words").alias("pos", "word"))
+    placed = placed.select("row", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("held")).alias("held"), "pos", "word")
+    words = texts.select(F.explode(words_of(F.col("text"))).alias("word")).distinct()
+    solved = best_paths(lattice(words, pieces), pieces)
+    found = placed.join(solved, "word", "left").select("row", "held", F.struct("pos", "ids").alias("part"))
+    lists = found.groupBy("row").agg(F.first("held", ignorenulls=True).alias("held"), F.array_sort(F.collect_list("part")).alias("parts"))
+    whole = F.flatten(F.transform("parts", lambda p: F.coalesce(p["ids"], F.array().cast("array<int>"))))
+    return lists.select("held.*", whole.alias("ids")).toDF(*keys, "ids")
 
 
 def decode(encoded: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per row of encoded: its keys, its ids, and text, the text that the ids stand for."""
-    names = [f"key{i}" for i in range(len(keys))]
-    rows = encoded.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], "ids")
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    digits = F.when(F.col("byte").isNull(), F.hex(F.encode(F.replace("piece", F.lit(MARK), F.lit(" ")), "utf-8"))).otherwise(
-        F.lpad(F.hex("byte"), 2, "0")
-    )
-    spelled = F.broadcast(pieces.select(F.col("id"), digits.alias("digits")))
-    placed = rows.select("row", F.posexplode("ids").alias("pos", "id")).join(spelled, "id")
-    joined = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "digits"))).alias("parts"))
-    octets = F.unhex(F.array_join(F.transform("parts", lambda p: p["digits"]), ""))
-    text = joined.select("row", F.decode(octets, "utf-8").alias("spoken"))
-    whole = F.coalesce(F.expr("substring(spoken, 2)"), F.lit(""))
-    return rows.join(text, "row", "left").select(*names, "ids", whole.alias("text")).toDF(*keys, "ids", "text")
+    """One row per row of encoded: its keys, its ids, and text, the text that the ids stand for; no shuffle."""
+    spelled = {
+        r.id: (r.piece.replace(MARK, " ").encode() if r.byte is None else bytes([r.byte])).hex() for r in pieces.collect()
+    }
+    digits = F.split(F.lit(",".join(spelled.get(i, "") for i in range(max(spelled) + 1))), ",")
+    octets = F.unhex(F.array_join(F.transform("ids", lambda i: F.element_at(digits, i + 1)), ""))
+    return encoded.select(*keys, "ids", F.substring(F.decode(octets, "utf-8"), 2, (1 << 31) - 1).alias("text"))

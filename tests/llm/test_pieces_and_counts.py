@@ -1,12 +1,14 @@
 """SentencePiece by lattice against a plain Viterbi; rollups against plain sums."""
 
 import random
+import zlib
 
 import public_tokenizers
 import pytest
 import sentencepiece
 
-from pactscope.llm import counts, pieces
+from pactscope.llm import counts, pieces, queries
+from tests.llm.fixtures import SF
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -52,6 +54,18 @@ def test_encode_and_decode(spark):
     assert pieces.encode(df.limit(0), table, ["k"]).collect() == []
 
 
+def test_query_encodes_documents(spark):
+    """op10 gives one row per document; ids of short ones are those of the plain Viterbi."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in queries.op10_sentencepiece(spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    assert all(got[d].round_trip for d, t in texts.items() if "▁" not in (t or ""))
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for d in sorted(texts, key=lambda d: len(texts[d] or ""))[:8]:
+        ids = viterbi(model, texts[d]) if texts[d] else []
+        assert (got[d].n_pieces, got[d].ids_crc32) == (len(ids), zlib.crc32(",".join(map(str, ids)).encode()))
+
+
 def test_rollups(spark, tmp_path):
     r = random.Random(4)
     rollups, state = counts.Rollups(spark, f"file://{tmp_path}"), {}
