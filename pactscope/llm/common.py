@@ -49,13 +49,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in the one column of dropped; columns as they are."""
-    name = fresh(docs, "dropped_id")
-    gone = small(cut(dropped.toDF(name).distinct()))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
-
-
 def numbered(keys: DataFrame, name: str = "name", rows: int | None = None) -> DataFrame:
     """Distinct rows of keys, sorted over all partitions, each with an integer name in that order (cut).
 

@@ -91,14 +91,14 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK, hash_bits: int = 64) -
     )
 
 
-def keep_distinct(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of equal texts, the one with the largest id; columns as they are."""
-    verdicts = cut(exact_duplicates(docs).select("doc_id", "text_sha256", "kept"))
-    dropped = verdicts.groupBy("doc_id", "text_sha256").agg(
-        F.bool_or("kept").alias("stays"), F.count(F.lit(1)).alias("rows"),
-    ).filter("not stays or rows > 1")
+def only_staying(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """docs without rows that don't stay and with one of those that stay repeatedly; columns as they are.
+
+    verdicts: doc_id, text_sha256, stays, rows (how many rows of docs they are); rows of docs without a verdict stay.
+    """
     key, sha, stays = fresh(docs, "dropped_id"), fresh(docs, "dropped_sha"), fresh(docs, "dropped_stays")
-    dropped = cut(dropped.select("doc_id", "text_sha256", "stays").toDF(key, sha, stays))
+    dropped = verdicts.filter("not stays or rows > 1").select("doc_id", "text_sha256", "stays")
+    dropped = cut(dropped.toDF(key, sha, stays))
     same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.sha2(text_bytes(), 256) == F.col(sha))
     once = docs.join(small(dropped), same, "left_anti")
     again = dropped.filter(F.col(stays))
@@ -106,3 +106,11 @@ def keep_distinct(docs: DataFrame) -> DataFrame:
         return once
     repeated = docs.join(small(again), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(repeated)
+
+
+def keep_distinct(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of equal texts, the one with the largest id; columns as they are."""
+    verdicts = cut(exact_duplicates(docs).select("doc_id", "text_sha256", "kept"))
+    return only_staying(docs, verdicts.groupBy("doc_id", "text_sha256").agg(
+        F.bool_or("kept").alias("stays"), F.count(F.lit(1)).alias("rows"),
+    ))
