@@ -10,7 +10,10 @@ Commits are idempotent. The ledger slice is written first and the totals last, i
 Spark leaves after a complete write is the commit. A batch with a marker is not applied again, one without is overwritten.
 Batches are numbered upwards; a number below the last committed one that isn't committed itself is refused.
 
-Edge cases: null sources, languages and ids are keys like others. Of several changes to one document and version in a batch
+Documents may repeat a doc_id or have none: each row is a key of its own in the ledger (doc_id and a digest of text, source and
+language), and rows that are equal in all of these are one key with their number.
+
+Edge cases: null sources, languages and ids are keys like others. Of several changes to one document's row and version in a batch
 the one with the largest seq counts (then the largest count, source, language). A null count is 0. Deleting or revising what
 isn't there changes nothing or inserts it. An empty batch commits nothing but its marker. Extra columns are not looked at.
 """
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEDGER = "doc_id long, version string, source string, lang string, tokens long, docs int, batch int"
+LEDGER = "doc_id long, row binary, version string, source string, lang string, tokens long, docs long, batch int"
 TOTALS = "source string, lang string, version string, docs long, tokens long, batch int"
 
 
@@ -46,26 +49,36 @@ class Rollups:
         return self.spark.read.schema(schema).option("basePath", f"{self.folder}/{name}").parquet(*paths)
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
-        """Applies changes (doc_id, version, op, source, lang, tokens, seq); False if the batch was committed before."""
+        """Applies changes (doc_id, version, op, source, lang, tokens, seq); False if the batch was committed before.
+
+        With columns row (binary) and copies, a change is about so many equal rows of one doc_id; without, about its one row.
+        """
         done = self._committed()
         if batch in done:
             return False
         if done and batch < done[-1]:
             raise ValueError(f"batch {batch} comes after batch {done[-1]}")
-        state = F.struct("seq", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), "source", "lang", "op")
-        latest = changes.groupBy("doc_id", "version").agg(F.max(state).alias("new"))
-        key = F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("version").eqNullSafe(F.col("k_version"))
-        old = self._latest(done).select(F.col("doc_id").alias("k_id"), F.col("version").alias("k_version"), "old")
+        if "row" not in changes.columns:
+            changes = changes.withColumns({"row": F.lit(None).cast("binary"), "copies": F.lit(1)})
+        copies = F.col("copies").cast("long")
+        state = F.struct("seq", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), "source", "lang", "op", copies.alias("docs"))
+        latest = changes.groupBy("doc_id", "row", "version").agg(F.max(state).alias("new"))
+        key = F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("row").eqNullSafe(F.col("k_row"))
+        key &= F.col("version").eqNullSafe(F.col("k_version"))
+        old = self._latest(done).select(
+            F.col("doc_id").alias("k_id"), F.col("row").alias("k_row"), F.col("version").alias("k_version"), "old"
+        )
         gone = F.col("new.op") == "delete"
         slice_ = latest.select(
-            "doc_id", "version", "new.source", "new.lang", F.when(gone, 0).otherwise(F.col("new.tokens")).cast("long").alias("tokens"),
-            F.when(gone, 0).otherwise(1).alias("docs"),
+            "doc_id", "row", "version", "new.source", "new.lang",
+            F.when(gone, F.lit(0)).otherwise(F.col("new.tokens") * F.col("new.docs")).cast("long").alias("tokens"),
+            F.when(gone, F.lit(0)).otherwise(F.col("new.docs")).cast("long").alias("docs"),
         )
         slice_.write.mode("overwrite").parquet(f"{self.folder}/ledger/batch={batch}")
         written = self.spark.read.parquet(f"{self.folder}/ledger/batch={batch}")
-        added = written.filter("docs > 0").select("source", "lang", "version", F.lit(1).alias("docs"), "tokens")
-        before = written.select("doc_id", "version").join(old, key).filter("old.docs > 0")
-        taken = before.select("old.source", "old.lang", "version", F.lit(-1).alias("docs"), (-F.col("old.tokens")).alias("tokens"))
+        added = written.filter("docs > 0").select("source", "lang", "version", "docs", "tokens")
+        before = written.select("doc_id", "row", "version").join(old, key).filter("old.docs > 0")
+        taken = before.select("old.source", "old.lang", "version", (-F.col("old.docs")).alias("docs"), (-F.col("old.tokens")).alias("tokens"))
         totals = added.unionByName(taken).groupBy("source", "lang", "version").agg(
             F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens")
         )
@@ -73,10 +86,10 @@ class Rollups:
         return True
 
     def _latest(self, batches: list[int]) -> DataFrame:
-        """The state of every document and version after the batches."""
+        """The state of every document's rows and version after the batches."""
         rows = self._slices("ledger", batches, LEDGER)
         state = F.struct("source", "lang", "tokens", "docs")
-        return rows.groupBy("doc_id", "version").agg(F.max_by(state, F.col("batch")).alias("old"))
+        return rows.groupBy("doc_id", "row", "version").agg(F.max_by(state, F.col("batch")).alias("old"))
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs, tokens: the sums over all committed batches, without groups that are empty."""
@@ -95,7 +108,17 @@ def token_count(version: str, column: str = "text") -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(PATTERNS[version])), F.lit(0)).cast("long")
 
 
+def row_key() -> Column:
+    """A digest of what counts of a row of documents: text, source and language."""
+    about = F.to_json(F.struct("source", "lang"))
+    return F.unhex(F.sha2(F.concat(F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256), about), 256))
+
+
 def counted(docs: DataFrame, version: str, op: str = "insert") -> DataFrame:
-    """A change for each document: its count under a tokenizer version."""
-    return docs.select("doc_id", F.lit(version).alias("version"), F.lit(op).alias("op"), "source", "lang",
-                       token_count(version).alias("tokens"), F.lit(0).alias("seq"))
+    """A change for each row of docs under a tokenizer version, equal rows of one doc_id as one change with their number."""
+    rows = docs.select("doc_id", row_key().alias("row"), "source", "lang", token_count(version).alias("tokens"))
+    rows = rows.groupBy("doc_id", "row").agg(
+        *(F.first(c).alias(c) for c in ("source", "lang", "tokens")), F.count(F.lit(1)).alias("copies")
+    )
+    return rows.select("doc_id", "row", F.lit(version).alias("version"), F.lit(op).alias("op"), "source", "lang", "tokens",
+                       F.lit(0).alias("seq"), "copies")

@@ -64,7 +64,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     toxic = labels.filter("toxic = 1").select("doc_id").distinct()
     versions = F.explode(F.array(*[F.lit(v) for v in counts.PATTERNS])).alias("version")
     nothing = [F.lit(None).cast("string").alias(c) for c in ("source", "lang")]
-    deleted = toxic.select("doc_id", versions, F.lit("delete").alias("op"), *nothing, F.lit(0).alias("tokens"), F.lit(0).alias("seq"))
+    gone = docs.select("doc_id", counts.row_key().alias("row")).join(toxic, "doc_id", "left_semi")
+    zeros = [F.lit(0).alias(c) for c in ("tokens", "seq", "copies")]
+    deleted = gone.select("doc_id", "row", versions, F.lit("delete").alias("op"), *nothing, *zeros)
     rollups.commit(4, deleted)
     return rollups.totals()
 

@@ -2,7 +2,9 @@
 
 import random
 import zlib
+from collections import Counter
 
+import duckdb
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -92,3 +94,17 @@ def test_rollups(spark, tmp_path):
     assert rollups.commit(9, df.limit(0))
     empty = counts.Rollups(spark, f"file://{tmp_path}/none")
     assert empty.totals().collect() == []
+
+
+def test_counts_of_repeated_and_null_ids(spark, tmp_path):
+    """Every row counts as in the SQL: ids that repeat with other texts, equal rows, rows without an id."""
+    docs = [(1, "a b", "en", "s"), (1, "c d e", "en", "s"), (1, "a b", "en", "s"), (1, "a b", "de", None), (None, "x y", "en", "s"),
+            (None, "z", "en", "s"), (None, "z", "en", "s"), (2, "p q", "en", "s"), (2, "r", "en", "t"), (3, None, "en", "t"), (3, "", "en", "t")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(1, 1, 0), (2, 0, 1), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE["op6_token_counts"]).fetchall()
+    assert Counter(map(tuple, queries.op6_token_counts(spark, str(tmp_path)).collect())) == Counter(want)
