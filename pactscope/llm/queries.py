@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from pactscope.llm import ann, counts, exact, minhash, packing, pieces, quality, records, suffix, urls
+from pactscope.llm import ann, counts, exact, minhash, packing, periods, pieces, quality, records, repair, simhash, suffix, urls
 from pactscope.llm.common import shared_folder
+from pactscope.llm.repair_sql import repair_sql
+from pactscope.llm.periods_sql import periods_sql
 from pactscope.llm.url_sql import template_sql
 
 
@@ -101,8 +107,99 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.unhex(F.sha2(F.col("text").cast("binary"), 256)) == F.col("digest")).alias("round_trip"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """conversations with a fault in about a quarter of their turns, chosen by a checksum of id and turn."""
+    blank = F.lit(" ")
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn")])
+    told = turns.select("conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"),
+                        (F.crc32(name.cast("binary")) % 20).alias("fault"))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", repair.STOPS, "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.when(F.col("fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return told.filter("fault <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("time")).drop("time")
+
+
+def _line_digests(schema: pa.Schema):
+    """The digest of each conversation's lines, which come in order; lines are hashed as they pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, out = None, None, []
+        for batch in batches:
+            for conv, line in zip(batch["conv_id"].to_pylist(), batch["line"].to_pylist(), strict=True):
+                if state is None or conv != key:
+                    if state is not None:
+                        out.append({"id": key, "sha": state.hexdigest()})
+                    key, state = conv, hashlib.sha256(line)
+                else:
+                    state.update(b"\n" + line)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            out = []
+        if state is not None:
+            yield pa.RecordBatch.from_pylist([{"id": key, "sha": state.hexdigest()}], schema=schema)
+
+    return run
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired."""
+    turns = _table(spark, sf_dir, "conversations")
+    found, repaired = repair.repair(damaged(turns))
+    kind = turns.schema["conv_id"].dataType
+    lines = repaired.select("conv_id", "number", F.concat("role", F.lit(":"), "text").cast("binary").alias("line"))
+    lines = lines.repartition("conv_id").sortWithinPartitions("conv_id", "number").select("conv_id", "line")
+    schema = pa.schema([("id", to_arrow_type(kind)), ("sha", pa.string())])
+    shas = lines.mapInArrow(_line_digests(schema), f"id {kind.simpleString()}, sha string")
+    counts_ = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    gaps = F.col("most") - F.col("least") + 1 - F.col("numbers")
+    found = found.withColumns({"gaps": gaps, "audit": F.upper("audit")}).select(F.col("conv_id").alias("found_id"), *counts_, "audit")
+    ids = turns.select("conv_id").distinct()
+    all_ = ids.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left").join(shas, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    return all_.select("conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts_],
+                       F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents, chosen by the checksum of the id, the last words repeat some of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, words = F.floor(h / 10).cast("long"), F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def tail(w):
+        n = F.size(w).cast("long")
+        a = (g % n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+        times = F.ceil((n - a) / p).cast("int")
+        again = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), times)), F.lit(1), (n - a).cast("int"))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a), again), " "))
+
+    # A list of one list, so that the text is split once.
+    changed = F.transform(F.array(words), tail)[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, F.coalesce(changed, "text")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, a tenth of them with planted repeats; its run with the greatest exponent, digests of all runs and of the rest."""
+    found = periods.periodic_runs(with_repeats(_table(spark, sf_dir, "documents")))
+    # Exponents are compared as fractions: length * other period against other length * period.
+    longest = F.aggregate(
+        "runs", F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>"),
+        lambda best, run: F.when(
+            best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"]), run,
+        ).otherwise(best),
+    )
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("run"),
+                         F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "run.start", "run.length", "run.period",
+                        F.expr("1000 * run.length div run.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, radius=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
 _ALL = [op1_quality_classifier, op2_best_fit_packing, op3_approximate_nearest_neighbours, op4_token_id_output, op5_exact_dedup, op6_token_counts, op7_minhash_near_dedup,
-        op8_suffix_array_dedup, op9_url_filters, op10_sentencepiece]
+        op8_suffix_array_dedup, op9_url_filters, op10_sentencepiece, op11_conversation_repair, op12_periodic_runs, op13_simhash_near_dedup]
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE = {
@@ -120,4 +217,6 @@ ORACLE = {
         FROM counted LEFT JOIN marks USING (doc_id) WHERE toxic IS NOT TRUE GROUP BY source, lang, version
     """,
     "op9_url_filters": template_sql(),
+    "op11_conversation_repair": repair_sql(),
+    "op12_periodic_runs": periods_sql(),
 }
