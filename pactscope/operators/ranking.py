@@ -56,15 +56,14 @@ def headline_risks(assessed: DataFrame) -> DataFrame:
 
     The result lists every HIGH clause of a contract, so it is as large as one contract at most.
     """
-    shown = assessed.where(is_risk_bearing_for_display()).select("doc_id", "idx", "risk_level", "clause_id", "title")
     entry = F.struct("idx", "clause_id", "title")
 
     def listed(level: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("risk_level") == level, entry)))
+        named = is_risk_bearing_for_display() & (F.col("risk_level") == level)
+        return F.array_sort(F.collect_list(F.when(named, entry)))
 
-    lists = shown.groupBy("doc_id").agg(listed("HIGH").alias("high"), listed("MEDIUM").alias("medium"))
-    lists = assessed.select("doc_id").distinct().join(lists, "doc_id", "left")
-    n_high, n_medium = F.coalesce(F.size("high"), F.lit(0)), F.coalesce(F.size("medium"), F.lit(0))
+    lists = assessed.groupBy("doc_id").agg(listed("HIGH").alias("high"), listed("MEDIUM").alias("medium"))
+    n_high, n_medium = F.size("high"), F.size("medium")
     tier = (
         F.when(n_high >= 2, "SEVERAL_HIGH")
         .when(n_high == 1, "ONE_HIGH")

@@ -3,10 +3,16 @@
 The rules form a decision table: the columns of a clause select one rule code,
 and the rule code selects a row of the ``OUTCOMES`` dimension. Deciding is
 one lazy CASE expression over a few shared flags; no Python runs per row.
+What a clause inherits from clauses it cites can turn only a few codes into
+others (``settled``), so texts are read once and a number per clause is enough
+to finish the assessment.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,16 +139,12 @@ def mitigation_flags(clauses: DataFrame) -> DataFrame:
 
 # -- R8-R17: one Column builder per rule, each yielding a rule code or null --
 class ClauseView:
-    """Columns a rule may look at. ``inherited`` flags come from cited clauses."""
+    """Columns a rule may look at."""
 
-    def __init__(self, inherited: bool):
+    def __init__(self):
         self.body, self.title = F.col("_body"), F.col("_ttl")
         self.negated, self.reciprocal = F.col("_negated"), F.col("_reciprocal")
-        own = mitigation()
-        own["has_mutuality"] = self.reciprocal
-        self.mitigated = {
-            m: (F.col("in_" + m) | own[m]) if inherited else own[m] for m in MITIGATIONS
-        }
+        self.mitigated = {m: F.col("_own_" + m) for m in MITIGATIONS}
 
     def says(self, words: str) -> Column:
         return has_words("_body", words)
@@ -179,7 +181,7 @@ def indemnity_rule(c: ClauseView) -> Column:
             c.says("uncapped"),
             F.when(~any_mitigation, "indemnity_uncapped")
             .when(cap, "indemnity_capped")
-            .otherwise("indemnity_one_sided"),
+            .otherwise(EASED),
         )
         .otherwise("indemnity_one_sided"),
     )
@@ -276,20 +278,38 @@ RULES = {
 
 def with_rule_flags(structured: DataFrame) -> DataFrame:
     """Flags that several rules share; the rest is evaluated lazily inside the decision."""
-    body = F.col("_body")
     return structured.withColumns(
         {
             "_negated": has_pattern("_body", "negation"),
-            "_reciprocal": has_pattern("_body", "reciprocal"),
             "_term_duration": has_pattern("_body", "term_duration"),
             "_renewal": has_pattern("_body", "renewal_covenant"),
+            **{"_own_" + name: flag for name, flag in mitigation().items()},
         }
+    ).withColumn("_reciprocal", F.col("_own_has_mutuality"))
+
+
+#: Code of an uncapped indemnity that something else than a cap mitigates: one-sided, unless it inherits a cap.
+EASED = "indemnity_eased"
+
+
+def settled(code: Column, inherited: dict[str, Column] | None = None) -> Column:
+    """The rule that holds, given the code of a clause alone and what it inherits (flags by the names of MITIGATIONS)."""
+    alone = F.replace(code, F.lit(EASED), F.lit("indemnity_one_sided"))
+    if inherited is None:
+        return alone
+    some = reduce(or_, inherited.values())
+    return (
+        F.when(code.isin("indemnity_uncapped", EASED) & inherited["has_cap"], "indemnity_capped")
+        .when((code == "indemnity_uncapped") & some, "indemnity_one_sided")
+        .when((code == "exit_forfeiture") & inherited["has_cure_period"], "exit_with_notice")
+        .when((code == "exit_standard") & inherited["has_cure_period"], "exit_mutual")
+        .otherwise(alone)
     )
 
 
-def decision(inherited: bool) -> Column:
-    """Structural outcome first, then the rules in order of precedence."""
-    view = ClauseView(inherited)
+def decision() -> Column:
+    """Structural outcome first, then the rules in order of precedence; the code of a clause alone."""
+    view = ClauseView()
     return F.when(~F.col("is_risk_bearing"), F.concat(F.lit("kind_"), F.lower("clause_kind"))).otherwise(
         F.coalesce(*[rule(view) for rule in RULES.values()])
     )
@@ -298,7 +318,7 @@ def decision(inherited: bool) -> Column:
 def single_rule(clauses: DataFrame, rule_id: str) -> DataFrame:
     """Outcome of one rule over all clauses it applies to, whatever other rules say."""
     flagged = with_rule_flags(with_lowered(clauses))
-    decided = flagged.withColumn("rule", RULES[rule_id](ClauseView(inherited=False)))
+    decided = flagged.withColumn("rule", settled(RULES[rule_id](ClauseView())))
     return with_outcome(decided.where(F.col("rule").isNotNull()))
 
 
@@ -336,7 +356,7 @@ def with_outcome(decided: DataFrame) -> DataFrame:
 
 def evaluate_clauses(clauses: DataFrame) -> DataFrame:
     """R18 without cross-references: every clause is judged alone."""
-    decided = with_rule_flags(with_structure(clauses)).withColumn("rule", decision(inherited=False))
+    decided = with_rule_flags(with_structure(clauses)).withColumn("rule", settled(decision()))
     return with_outcome(decided).select(*ASSESSED, "rule")
 
 

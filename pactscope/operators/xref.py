@@ -1,12 +1,14 @@
 """Cross-references between clauses of one contract (X1-X4) and the full assessment.
 
-Only clauses that cite another clause take part in joins, and those joins move
-keys and flags, not texts. All other clauses are assessed where they lie.
+The full assessment reads every clause once. A contract is one admitted file, so
+its clauses are brought together by ``doc_id`` (nothing moves where they already
+are); citations meet the clause they name, and what they inherit meets the citing
+clause, in two windows over that one partitioning, as numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactscope.functions.lexicon import PATTERNS
@@ -17,6 +19,7 @@ from pactscope.operators.rules import (
     MITIGATIONS,
     decision,
     mitigation,
+    settled,
     with_lowered,
     with_outcome,
     with_rule_flags,
@@ -42,13 +45,16 @@ def mentions() -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def _packed(flags: dict[str, Column]) -> Column:
+    """Position and mitigation flags as one number, so that the first clause of a label is a plain minimum."""
+    bits = sum((flags[m].cast("bigint") * 2**i for i, m in enumerate(MITIGATIONS)), F.lit(0).cast("bigint"))
+    return F.col("idx").cast("bigint") * 16 + bits
+
+
 def build_label_index(clauses: DataFrame) -> DataFrame:
     """First clause per (doc_id, label) with its mitigation flags."""
     labelled = with_lowered(clauses).withColumn("label", clause_label()).where(F.col("label").isNotNull())
-    flags = mitigation()
-    bits = sum((flags[m].cast("bigint") * 2**i for i, m in enumerate(MITIGATIONS)), F.lit(0).cast("bigint"))
-    # position and flags travel as one number, so that the first clause per label is a plain hash aggregate
-    row = labelled.select("doc_id", "label", (F.col("idx").cast("bigint") * 16 + bits).alias("packed"))
+    row = labelled.select("doc_id", "label", _packed(mitigation()).alias("packed"))
     best = row.groupBy("doc_id", "label").agg(F.min("packed").alias("packed"))
     return best.select(
         "doc_id",
@@ -110,30 +116,40 @@ def explain_references(edges: DataFrame) -> DataFrame:
     )
 
 
+def _with_inherited(lowered: DataFrame, flags: dict[str, Column], carried: list[str]) -> DataFrame:
+    """``carried`` columns of each clause and ``inherited``: the flags of the clauses that limit or mitigate it as one
+    number, null where there are none.
+
+    A clause is one row, each of its limiting citations another one. Rows of one contract with the same label are peers in
+    the first window: a citation learns the first clause of that label. Rows of one clause are peers in the second.
+    """
+    cited = F.filter(mentions(), lambda label: _wording(F.col("_body"), label) == "limits")
+    own = F.array(F.struct(clause_label().alias("label"), F.lit(True).alias("is_clause")))
+    citing = F.transform(cited, lambda label: F.struct(label.alias("label"), F.lit(False).alias("is_clause")))
+    rows = lowered.select(*carried, _packed(flags).alias("_flags"), F.inline(F.concat(own, citing)))
+    peers = Window.partitionBy("doc_id").rangeBetween(Window.currentRow, Window.currentRow)
+    target = F.min(F.when(F.col("is_clause"), F.col("_flags"))).over(peers.orderBy("label"))
+    found = rows.withColumn("_target", F.when(~F.col("is_clause"), target.bitwiseAND(2 ** len(MITIGATIONS) - 1)))
+    gained = found.withColumn("inherited", F.bit_or("_target").over(peers.orderBy("idx")))
+    return gained.where("is_clause").select(*carried, "inherited")
+
+
+def _inherited_flag(name: str) -> Column:
+    return F.coalesce(F.col("inherited").bitwiseAND(2 ** MITIGATIONS.index(name)) != 0, F.lit(False))
+
+
 def propagate_mitigation(clauses: DataFrame) -> DataFrame:
     """Mitigation a clause inherits from the clauses that limit or mitigate it."""
-    edges = resolve_references(clauses, exclude_self=False)
-    return (
-        edges.where(F.col("relation").isin("mitigates", "limits"))
-        .groupBy("doc_id", F.col("src_idx").alias("idx"))
-        .agg(*[F.bool_or(m).alias("in_" + m) for m in MITIGATIONS])
-    )
+    found = _with_inherited(with_lowered(clauses), mitigation(), ["doc_id", "idx"]).where(F.col("inherited").isNotNull())
+    return found.select("doc_id", "idx", *[_inherited_flag(m).alias("in_" + m) for m in MITIGATIONS])
 
 
 def evaluate_documents(clauses: DataFrame) -> DataFrame:
     """Every clause judged with what its cited clauses contribute."""
-    structured = with_rule_flags(with_structure(clauses))
-    cites = F.size(mentions()) > 0
-
-    alone = structured.where(~cites).withColumn("rule", decision(inherited=False))
-    inherited = propagate_mitigation(clauses)
-    citing = (
-        structured.where(cites)
-        .join(inherited, ["doc_id", "idx"], "left")
-        .fillna(False, subset=["in_" + m for m in MITIGATIONS])
-        .withColumn("rule", decision(inherited=True))
-    )
-    keep = [c for c in ASSESSED if c not in ("category", "risk_level", "unfairness", "summary", "pushback",
-                                            "risk_reasons")]
-    decided = alone.select(*keep, "rule").unionByName(citing.select(*keep, "rule"))
-    return with_outcome(decided).select(*ASSESSED, "rule")
+    structured = with_rule_flags(with_structure(clauses)).withColumn("_code", decision())
+    own = {m: F.col("_own_" + m) for m in MITIGATIONS}
+    outcome = ("category", "risk_level", "unfairness", "summary", "pushback", "risk_reasons")
+    keep = [c for c in ASSESSED if c not in outcome]
+    judged = _with_inherited(structured, own, [*keep, "_code"])
+    rule = settled(F.col("_code"), {m: _inherited_flag(m) for m in MITIGATIONS})
+    return with_outcome(judged.select(*keep, rule.alias("rule"))).select(*ASSESSED, "rule")

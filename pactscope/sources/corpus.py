@@ -67,15 +67,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share when the input has fewer splits than cores; large inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One contract per order: id, clause count, file name, size, order status."""
-    return contracts_of(spread(table(spark, sf_dir, "orders")))
+    """One contract per order: id, clause count, file name, size, order status.
+
+    Contracts are dealt out by id while they are a few numbers; whatever is derived from them stays with its contract, and
+    steps by contract find it there.
+    """
+    return contracts_of(table(spark, sf_dir, "orders").repartition("o_orderkey"))
 
 
 def contracts_of(orders: DataFrame) -> DataFrame:
