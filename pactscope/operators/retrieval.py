@@ -1,9 +1,9 @@
 """Retrieval of clauses for questions.
 
-Vectors are sparse counts over hashed words, kept as exact integers; cosine is
-taken at the end. Scoring joins postings on (doc_id, bucket), so a question meets
-only clauses it shares a word with. Clauses that share none can still be
-needed to fill up a short list; the first k by position always suffice for that.
+A clause is indexed by one sparse column: a map from hashed words to counts, kept as
+exact integers; cosine is taken at the end. A question meets the clauses of its contract
+in one join on ``doc_id`` and the dot product is taken in that row, by looking up the
+question's few words in the clause's map. Lists of clauses are windows over these pairs.
 """
 
 from __future__ import annotations
@@ -32,15 +32,20 @@ def bucket(word: Column, dim: int = EMBED_DIM) -> Column:
 
 
 def sparse_vector(text: Column, dim: int = EMBED_DIM) -> Column:
-    """Counts per bucket of a text's words, as array<struct<bucket, tf>>; at most ``dim`` entries."""
-    buckets = F.transform(words_of(F.lower(text)), lambda w: bucket(w, dim))
-    return let(
-        buckets,
-        lambda bs: F.transform(
-            F.array_distinct(bs),
-            lambda b: F.struct(b.alias("bucket"), F.size(F.filter(bs, lambda x: x == b)).cast("bigint").alias("tf")),
-        ),
-    )
+    """Counts per bucket of a text's words, as array<struct<bucket, tf>> by bucket; at most ``dim`` entries.
+
+    In the sorted list a bucket's count is the distance from its first place to that of the next one.
+    """
+
+    def counted(all_: Column, distinct: Column) -> Column:
+        def entry(b: Column, i: Column) -> Column:
+            after = F.coalesce(F.array_position(all_, F.get(distinct, i + 1)), F.size(all_) + 1)
+            return F.struct(b.alias("bucket"), (after - F.array_position(all_, b)).cast("bigint").alias("tf"))
+
+        return F.transform(distinct, entry)
+
+    buckets = F.sort_array(F.transform(words_of(F.lower(text)), lambda w: bucket(w, dim)))
+    return let(buckets, lambda bs: let(F.array_distinct(bs), lambda ds: counted(bs, ds)))
 
 
 def squared_norm(vector: Column) -> Column:
@@ -72,34 +77,50 @@ def dense_cosine(a: Column, b: Column) -> Column:
 
 
 # -- V3: cosine of questions and clauses ------------------------------------
+def clause_vectors(clauses: DataFrame, *carried: Column | str) -> DataFrame:
+    """The index of a contract's clauses: (doc_id, idx, carried columns, vector, norm2); vector maps buckets to counts.
+
+    A table that has vectors already (one that was written, see ``streaming.audit``) is taken as it is.
+    """
+    if "vector" in clauses.columns:
+        return clauses.select("doc_id", "idx", *carried, "vector", "norm2")
+    entries = clauses.select("doc_id", "idx", *carried, sparse_vector(index_text()).alias("_v"))
+    columns = [c for c in entries.columns if c != "_v"]
+    return entries.select(*columns, F.map_from_entries("_v").alias("vector"), squared_norm(F.col("_v")).alias("norm2"))
+
+
+def scored_pairs(questions: DataFrame, vectors: DataFrame, *asked: Column | str) -> DataFrame:
+    """Every question with every clause of its contract: keys, ``asked`` columns of the question, idx and the carried columns
+    of the clause, dot, score (0 where they share no word)."""
+    words = questions.select(*QUESTION_KEYS, *asked, sparse_vector(F.col("message")).alias("_q"))
+    words = words.withColumn("_q_norm2", squared_norm(F.col("_q")))
+    dot = F.aggregate(
+        "_q", F.lit(0).cast("bigint"),
+        lambda acc, e: acc + e["tf"] * F.coalesce(F.try_element_at("vector", e["bucket"]), F.lit(0).cast("bigint")),
+    )
+    score = F.coalesce(F.col("dot") / F.sqrt(F.nullif(F.col("_q_norm2") * F.col("norm2"), F.lit(0)).cast("double")), F.lit(0.0))
+    pairs = words.join(vectors, "doc_id").withColumn("dot", dot).withColumn("score", score)
+    return pairs.drop("_q", "_q_norm2", "vector", "norm2")
+
+
 def cosine_scores(questions: DataFrame, clauses: DataFrame) -> DataFrame:
     """V3: (doc_id, q_no, idx, dot, score) for pairs that share a bucket."""
-    asked = postings(questions, QUESTION_KEYS, F.col("message")).select(
-        *QUESTION_KEYS, "bucket", F.col("tf").alias("q_tf"), F.col("norm2").alias("q_norm2")
-    )
-    indexed = postings(clauses, ["doc_id", "idx"], index_text())
-    pairs = asked.join(indexed, ["doc_id", "bucket"])
-    dots = pairs.groupBy(*QUESTION_KEYS, "idx").agg(
-        F.sum(F.col("q_tf") * F.col("tf")).alias("dot"), F.max(F.col("q_norm2") * F.col("norm2")).alias("_n2")
-    )
-    return dots.select(
-        *QUESTION_KEYS, "idx", "dot", (F.col("dot") / F.sqrt(F.col("_n2").cast("double"))).alias("score")
-    )
+    return scored_pairs(questions, clause_vectors(clauses)).where(F.col("dot") > 0).select(*QUESTION_KEYS, "idx", "dot", "score")
 
 
 # -- W2 ---------------------------------------------------------------------
+def _by_score() -> list[Column]:
+    return [F.col("score").desc(), F.col("idx")]
+
+
 def retrieve_top_k(questions: DataFrame, clauses: DataFrame, k: int = 4) -> DataFrame:
     """Up to k clauses per question as (doc_id, q_no, idx, pos).
 
     A contract with at most k clauses gives all of them in document order, otherwise the k best by cosine
     (ties in document order). One candidate more than k tells the two cases apart.
     """
-    scored = cosine_scores(questions, clauses).select(*QUESTION_KEYS, "idx", "score")
-    leading = top_per_group(clauses.select("doc_id", "idx"), ["doc_id"], [F.col("idx")], k + 1, rank="_r")
-    leading = leading.select("doc_id", "idx", F.lit(0.0).alias("score"))
-    fillers = questions.select(*QUESTION_KEYS).join(leading, "doc_id").select(*QUESTION_KEYS, "idx", "score")
-    candidates = scored.unionByName(fillers).groupBy(*QUESTION_KEYS, "idx").agg(F.max("score").alias("score"))
-    best = top_per_group(candidates, QUESTION_KEYS, [F.col("score").desc(), F.col("idx")], k + 1, rank="_rank")
+    pairs = scored_pairs(questions, clause_vectors(clauses)).select(*QUESTION_KEYS, "idx", "score")
+    best = top_per_group(pairs, QUESTION_KEYS, _by_score(), k + 1, rank="_rank")
     whole = F.max("_rank").over(Window.partitionBy(*QUESTION_KEYS)) <= k
     return (
         best.withColumn("_whole", whole)
@@ -108,6 +129,16 @@ def retrieve_top_k(questions: DataFrame, clauses: DataFrame, k: int = 4) -> Data
     )
 
 
+def _with_retrieved(pairs: DataFrame, k: int) -> DataFrame:
+    """pairs with ``_pos``, the place of a clause among the k retrieved ones (see W2), null for all others."""
+    questions = Window.partitionBy(*QUESTION_KEYS)
+    ranked = pairs.withColumns({
+        "_rank": F.row_number().over(questions.orderBy(*_by_score())), "_n": F.count(F.lit(1)).over(questions),
+    })
+    place = F.when(F.col("_n") <= k, F.col("idx")).otherwise(F.col("_rank"))
+    return ranked.withColumn("_pos", F.when(F.col("_rank") <= k, place)).drop("_rank", "_n")
+
+
 # -- X9 ---------------------------------------------------------------------
 def selected_clauses(questions: DataFrame, clauses: DataFrame) -> DataFrame:
     """The clause a question points at, found by its id, with the positions of the clauses before and after it."""
@@ -146,35 +177,26 @@ def ordered_union(*lists: DataFrame, limit: int | None = None) -> DataFrame:
 def global_context(questions: DataFrame, assessed: DataFrame, k: int = 7) -> DataFrame:
     """For questions about overall risk, material clauses by level, score, similarity and reasons.
 
-    Similarity only breaks ties, and at most ``rag`` clauses have it. So the contract's own best k + rag clauses,
-    found once per contract, and the retrieved ones contain every clause that can be chosen.
+    Similarity only breaks ties: whether a clause is among the ``rag`` most similar ones.
     """
     rag = max(k, 5)
     asked = questions.where(is_global_risk_question(F.col("message")))
-    material = assessed.where(is_materially_risky())
-    attributes = material.select(
-        "doc_id", "idx", "risk_level", "unfairness", "risk_reasons"
-    )
-    order = [*severity_order(), reason_count().desc(), F.col("idx")]
-    best = top_per_group(attributes, ["doc_id"], order, k + rag, rank="_r").drop("_r")
-    own = asked.select(*QUESTION_KEYS).join(best, "doc_id").withColumn("in_rag", F.lit(0))
-    similar = (
-        retrieve_top_k(asked, assessed, rag).select(*QUESTION_KEYS, "idx")
-        .join(attributes, ["doc_id", "idx"]).withColumn("in_rag", F.lit(1))
-    )
-    columns = [*QUESTION_KEYS, "idx", "risk_level", "unfairness", F.size("risk_reasons").alias("n_reasons"), "in_rag"]
-    merged = (
-        own.select(*columns).unionByName(similar.select(*columns))
-        .groupBy(*QUESTION_KEYS, "idx", "risk_level", "unfairness", "n_reasons").agg(F.max("in_rag").alias("in_rag"))
-    )
-    final = [*severity_order(), F.col("in_rag").desc(), F.col("n_reasons").desc(), F.col("idx")]
-    return top_per_group(merged, QUESTION_KEYS, final, k, rank="pos").select(*QUESTION_KEYS, "idx", "pos")
+    vectors = clause_vectors(assessed, is_materially_risky().alias("_material"), "risk_level", "unfairness", reason_count().alias("_reasons"))
+    placed = _with_retrieved(scored_pairs(asked, vectors), rag).where("_material")
+    order = [*severity_order(), F.col("_pos").isNull(), F.col("_reasons").desc(), F.col("idx")]
+    return top_per_group(placed, QUESTION_KEYS, order, k, rank="pos").select(*QUESTION_KEYS, "idx", "pos")
 
 
 def focus_context(questions: DataFrame, clauses: DataFrame, k: int = 7) -> DataFrame:
     """The selected clause and its neighbours, then the retrieved clauses."""
-    near = clause_with_neighbours(questions, clauses).withColumnRenamed("ord", "pos")
-    return ordered_union(near, retrieve_top_k(questions, clauses, k))
+    pairs = scored_pairs(questions, clause_vectors(clauses, "clause_id"), "selected_clause_id")
+    chosen = F.coalesce(F.col("clause_id") == F.col("selected_clause_id"), F.lit(False))
+    order = Window.partitionBy(*QUESTION_KEYS).orderBy("idx")
+    pairs = pairs.withColumn("_chosen", chosen)
+    near = F.when(F.col("_chosen"), 1).when(F.lead("_chosen").over(order), 2).when(F.lag("_chosen").over(order), 3)
+    placed = _with_retrieved(pairs.withColumn("_near", near), k).where(F.col("_near").isNotNull() | F.col("_pos").isNotNull())
+    final = Window.partitionBy(*QUESTION_KEYS).orderBy(F.col("_near").asc_nulls_last(), "_pos", "idx")
+    return placed.withColumn("pos", F.row_number().over(final)).select(*QUESTION_KEYS, "idx", "pos")
 
 
 def chat_context(questions: DataFrame, assessed: DataFrame, k: int = 7) -> DataFrame:
@@ -189,39 +211,32 @@ def question_words(message: Column) -> Column:
     return F.transform(F.filter(words_of(message), lambda w: F.length(w) > 3), lambda w: F.lower(w))
 
 
+def _keyword_pairs(questions: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Every question with every clause of its contract: keys, idx, whether it is the selected one, hits."""
+    asked = questions.select(*QUESTION_KEYS, "selected_clause_id", question_words(F.col("message")).alias("_words"))
+    said = clauses.select("doc_id", "idx", "clause_id", F.lower(F.concat("title", F.lit(" "), "text")).alias("_said"))
+    hits = F.size(F.filter("_words", lambda w: F.contains(F.col("_said"), w)))
+    chosen = F.coalesce(F.col("clause_id") == F.col("selected_clause_id"), F.lit(False))
+    return asked.join(said, "doc_id").select(*QUESTION_KEYS, "idx", chosen.alias("chosen"), hits.alias("hits"))
+
+
 def keyword_hits(questions: DataFrame, clauses: DataFrame) -> DataFrame:
     """How many question words occur in title and text; clauses without any are left out."""
-    asked = questions.select(*QUESTION_KEYS, question_words(F.col("message")).alias("_words"))
-    said = clauses.select("doc_id", "idx", F.lower(F.concat("title", F.lit(" "), "text")).alias("_said"))
-    matched = asked.join(
-        said,
-        (asked["doc_id"] == said["doc_id"]) & F.exists(asked["_words"], lambda w: F.contains(said["_said"], w)),
-    )
-    hits = F.size(F.filter("_words", lambda w: F.contains(F.col("_said"), w)))
-    return matched.select(asked["doc_id"], "q_no", "idx", hits.alias("hits"))
+    return _keyword_pairs(questions, clauses).where(F.col("hits") > 0).drop("chosen")
 
 
 def keyword_context(questions: DataFrame, clauses: DataFrame, k: int = 7) -> DataFrame:
     """The selected clause, then clauses by keyword hits, then document order, k in all."""
-    selected = selected_clauses(questions, clauses)
-    hits = keyword_hits(questions, clauses)
-    best = top_per_group(hits, QUESTION_KEYS, [F.col("hits").desc(), F.col("idx")], k, rank="_r")
-    first = top_per_group(clauses.select("doc_id", "idx"), ["doc_id"], [F.col("idx")], k, rank="_r")
-    leading = questions.select(*QUESTION_KEYS).join(first.drop("_r"), "doc_id")
-    lists = [
-        selected.select(*QUESTION_KEYS, "idx", F.lit(1).alias("pos")),
-        best.select(*QUESTION_KEYS, "idx", F.col("_r").alias("pos")),
-        leading.select(*QUESTION_KEYS, "idx", F.col("idx").alias("pos")),
-    ]
-    return ordered_union(*lists, limit=k)
+    order = [F.col("chosen").desc(), F.col("hits").desc(), F.col("idx")]
+    return top_per_group(_keyword_pairs(questions, clauses), QUESTION_KEYS, order, k, rank="pos").select(*QUESTION_KEYS, "idx", "pos")
 
 
 # -- W6: scenario context ---------------------------------------------------
 def scenario_context(prompts: DataFrame, assessed: DataFrame, k: int = 7, limit: int = 9) -> DataFrame:
     """K retrieved clauses; prompts about leaving or not paying also get exit and payment clauses up to ``limit``."""
-    base = retrieve_top_k(prompts, assessed, k)
-    about_exit = prompts.where(contains_any(F.lower("message"), WORDS["scenario_exit"])).select(*QUESTION_KEYS)
-    relevant = assessed.where(F.col("category").isin("TERMINATION", "PAYMENT_TERMS")).select("doc_id", "idx")
-    leading = top_per_group(relevant, ["doc_id"], [F.col("idx")], limit, rank="pos")
-    extra = about_exit.join(leading, "doc_id")
-    return ordered_union(base, extra, limit=limit)
+    vectors = clause_vectors(assessed, F.col("category").isin("TERMINATION", "PAYMENT_TERMS").alias("_relevant"))
+    about_exit = contains_any(F.lower("message"), WORDS["scenario_exit"]).alias("_exit")
+    placed = _with_retrieved(scored_pairs(prompts, vectors, about_exit), k)
+    wanted = placed.where(F.col("_pos").isNotNull() | (F.col("_exit") & F.col("_relevant")))
+    order = [F.col("_pos").asc_nulls_last(), F.col("idx")]
+    return top_per_group(wanted, QUESTION_KEYS, order, limit, rank="pos").select(*QUESTION_KEYS, "idx", "pos")

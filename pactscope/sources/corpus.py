@@ -71,9 +71,10 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One contract per order: id, clause count, file name, size, order status.
 
     Contracts are dealt out by id while they are a few numbers; whatever is derived from them stays with its contract, and
-    steps by contract find it there.
+    steps by contract find it there. The number of parts is the session's own, since sizes say nothing yet here.
     """
-    return contracts_of(table(spark, sf_dir, "orders").repartition("o_orderkey"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return contracts_of(table(spark, sf_dir, "orders").repartition(parts, "o_orderkey"))
 
 
 def contracts_of(orders: DataFrame) -> DataFrame:
