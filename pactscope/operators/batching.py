@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactscope.functions.lexicon import BATCH_CHARS
+from pactscope.functions.walks import group_begins
 
 
 def pack_batches(clauses: DataFrame, max_chars: int = BATCH_CHARS) -> DataFrame:
@@ -17,28 +18,12 @@ def pack_batches(clauses: DataFrame, max_chars: int = BATCH_CHARS) -> DataFrame:
     listed = clauses.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("idx"), size.alias("n")))).alias("_c")
     )
-    packed = F.aggregate(
-        "_c",
-        F.struct(
-            F.array().cast("array<struct<idx:int,batch_no:int>>").alias("rows"), F.lit(0).alias("b"), F.lit(0).alias("used")
-        ),
-        lambda acc, c: F.struct(
-            F.concat(
-                acc["rows"],
-                F.array(
-                    F.struct(
-                        c["idx"].alias("idx"),
-                        F.when((acc["b"] == 0) | (acc["used"] + c["n"] > max_chars), acc["b"] + 1)
-                        .otherwise(acc["b"])
-                        .alias("batch_no"),
-                    )
-                ),
-            ).alias("rows"),
-            F.when((acc["b"] == 0) | (acc["used"] + c["n"] > max_chars), acc["b"] + 1).otherwise(acc["b"]).alias("b"),
-            F.when((acc["b"] == 0) | (acc["used"] + c["n"] > max_chars), c["n"]).otherwise(acc["used"] + c["n"]).alias("used"),
-        ),
-    )["rows"]
-    return listed.select("doc_id", F.inline(packed))
+    begun = listed.withColumn("_begins", group_begins(F.col("_c.n"), max_chars))
+    after = F.concat(F.slice("_begins", F.lit(2), F.size("_begins")), F.array(F.size("_c")))
+    batches = F.arrays_zip(F.col("_begins").alias("begin"), after.alias("end"))
+    rows = begun.select("doc_id", "_c", F.posexplode(batches).alias("_no", "_b"))
+    members = F.slice("_c", F.col("_b.begin") + 1, F.col("_b.end") - F.col("_b.begin"))
+    return rows.select("doc_id", (F.col("_no") + 1).alias("batch_no"), F.inline(members)).select("doc_id", "idx", "batch_no")
 
 
 def batch_payloads(clauses: DataFrame, batches: DataFrame) -> DataFrame:

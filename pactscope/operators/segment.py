@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactscope.functions import lexicon as lex
+from pactscope.functions.walks import group_begins
 from pactscope.functions.text import (
     contains_any,
     let,
@@ -58,15 +59,14 @@ def section_chunks(text: Column) -> Column:
 def _kept_sections(text: Column, found: Column) -> Column:
     numbered = F.transform(found, lambda c: matches(F.lower(c["head"]), lex.NUMBERED_HEADING))
     lead = F.length(text) - F.aggregate(found, F.lit(0), lambda acc, c: acc + F.length(c["body"]))
-    no_starts = F.array().cast("array<int>")
-    starts = F.aggregate(
+    # starts grow, so the headings that start before position 300 are the first ones
+    early = F.aggregate(
         found,
-        F.struct(no_starts.alias("at"), lead.cast("int").alias("next")),
+        F.struct(lead.cast("int").alias("next"), F.lit(0).alias("n")),
         lambda acc, c: F.struct(
-            F.when(F.size(acc["at"]) < 301, F.concat(acc["at"], F.array(acc["next"]))).otherwise(acc["at"]).alias("at"),
-            (acc["next"] + F.length(c["body"])).alias("next"),
+            (acc["next"] + F.length(c["body"])).alias("next"), (acc["n"] + (acc["next"] < 300).cast("int")).alias("n")
         ),
-    )["at"]  # a heading has characters, so only the first 300 can start before position 300
+    )["n"]
 
     def keep(facts: Column) -> Column:
         rows = F.transform(
@@ -75,7 +75,7 @@ def _kept_sections(text: Column, found: Column) -> Column:
                 strip_of(squeeze(c["head"]), EDGE).alias("title"),
                 strip(c["body"]).alias("text"),
                 (
-                    (F.coalesce(F.get(facts["starts"], i), F.lit(300)) < 300)
+                    (i < facts["early"])
                     & ((facts["first"] == 0) | (facts["first"] > i + 1))
                 ).alias("noise"),
             ),
@@ -88,7 +88,7 @@ def _kept_sections(text: Column, found: Column) -> Column:
         )
         return F.transform(kept, lambda c: F.struct(c["title"].alias("title"), c["text"].alias("text")))
 
-    facts = F.struct(starts.alias("starts"), F.array_position(numbered, True).alias("first"))
+    facts = F.struct(early.alias("early"), F.array_position(numbered, True).alias("first"))
     return let(facts, keep)
 
 
@@ -96,44 +96,17 @@ def _kept_sections(text: Column, found: Column) -> Column:
 def paragraph_windows(text: Column, target: int = lex.WINDOW_WORDS) -> Column:
     """array<struct<title, text>>; paragraphs packed in order into windows of at most ``target`` words."""
     paragraphs = F.filter(F.transform(F.split(text, "\n\n"), strip), lambda p: p != "")
-    counted = F.transform(paragraphs, lambda p: F.struct(p.alias("p"), word_count(p).alias("n")))
-    empty = F.array().cast("array<struct<p:string,w:int>>")
-    # first pass numbers the windows by counts only, second pass joins their paragraphs
-    packed = F.aggregate(
-        counted,
-        F.struct(empty.alias("rows"), F.lit(0).alias("words"), F.lit(0).alias("w")),
-        lambda acc, c: F.when(
-            (acc["words"] + c["n"] > target) & (acc["w"] > 0),
-            F.struct(
-                F.concat(acc["rows"], F.array(F.struct(c["p"].alias("p"), (acc["w"] + 1).alias("w")))).alias("rows"),
-                c["n"].alias("words"),
-                (acc["w"] + 1).alias("w"),
-            ),
-        ).otherwise(
-            F.struct(
-                F.concat(
-                    acc["rows"], F.array(F.struct(c["p"].alias("p"), F.greatest(acc["w"], F.lit(1)).alias("w")))
-                ).alias("rows"),
-                (acc["words"] + c["n"]).alias("words"),
-                F.greatest(acc["w"], F.lit(1)).alias("w"),
-            )
-        ),
-    )
-    def window(rows: Column, k: Column) -> Column:
-        members = F.transform(F.filter(rows, lambda r: r["w"] == k), lambda r: r["p"])
-
-        def titled(m: Column) -> Column:
-            line = strip(F.substring(F.split_part(F.get(m, F.lit(0)), F.lit("\n"), F.lit(1)), 1, 60))
-            title = F.when(F.length(line) > 5, line).otherwise(F.concat(F.lit("Section "), k.cast("string")))
-            return F.struct(title.alias("title"), F.array_join(m, "\n\n").alias("text"))
+    begins = group_begins(F.transform(paragraphs, word_count), target)
 
-        return let(members, titled)
+    def window(ps: Column, bs: Column, at: Column, i: Column) -> Column:
+        members = F.slice(ps, at + 1, F.coalesce(F.get(bs, i + 1), F.size(ps)) - at)
+        line = strip(F.substring(F.split_part(F.get(ps, at), F.lit("\n"), F.lit(1)), 1, 60))
+        title = F.when(F.length(line) > 5, line).otherwise(F.concat(F.lit("Section "), (i + 1).cast("string")))
+        return F.struct(title.alias("title"), F.array_join(members, "\n\n").alias("text"))
 
     return let(
-        packed,
-        lambda p: F.when(
-            p["w"] > 0, F.transform(F.sequence(F.lit(1), p["w"]), lambda k: window(p["rows"], k))
-        ).otherwise(F.array().cast("array<struct<title:string,text:string>>")),
+        F.struct(paragraphs.alias("p"), begins.alias("b")),
+        lambda v: F.transform(v["b"], lambda at, i: window(v["p"], v["b"], at, i)),
     )
 
 
@@ -141,9 +114,8 @@ def paragraph_windows(text: Column, target: int = lex.WINDOW_WORDS) -> Column:
 def segment_or_window(documents: DataFrame, text: str = "segmentable") -> DataFrame:
     """Adds ``sections``; paragraph windows where fewer than three sections were found."""
     found = documents.withColumn("_found", section_chunks(F.col(text)))
-    return found.withColumn(
-        "sections", F.when(F.size("_found") >= 3, F.col("_found")).otherwise(paragraph_windows(F.col(text)))
-    ).drop("_found")
+    unsectioned = F.when(F.size("_found") < 3, F.col(text))
+    return found.withColumn("sections", F.coalesce(paragraph_windows(unsectioned), "_found")).drop("_found")
 
 
 # -- G6 ---------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactscope.functions import lexicon as lex
+from pactscope.functions.walks import kept_positions
 from pactscope.functions.text import (
     contains_any,
     escape_pattern,
@@ -73,18 +74,13 @@ def highlightable(selected: Column | None = None) -> Column:
 def non_overlapping_spans(spans: DataFrame) -> DataFrame:
     """Per page, spans by start (then clause), dropping one that starts before the last kept end.
 
-    The fold runs over the offsets of one page, at most one span per clause on it.
+    Only offsets are gathered, at most one span per clause of a page.
     """
     entry = F.struct("start", F.col("idx"), F.col("end"))
     listed = spans.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(entry)).alias("_s"))
-    kept = F.aggregate(
-        "_s",
-        F.struct(F.array().cast("array<struct<start:int,idx:int,end:int>>").alias("rows"), F.lit(0).alias("last")),
-        lambda acc, s: F.when(s["start"] < acc["last"], acc).otherwise(
-            F.struct(F.concat(acc["rows"], F.array(s)).alias("rows"), s["end"].alias("last"))
-        ),
-    )["rows"]
-    return listed.select("doc_id", "page_no", F.inline(kept)).select("doc_id", "page_no", "idx", "start", "end")
+    kept = F.explode(kept_positions(F.col("_s.start"), F.col("_s.end")))
+    rows = listed.select("doc_id", "page_no", "_s", kept.alias("_at"))
+    return rows.select("doc_id", "page_no", F.get("_s", F.col("_at")).alias("_k")).select("doc_id", "page_no", "_k.idx", "_k.start", "_k.end")
 
 
 def page_text_or_rebuilt(clauses: DataFrame, pages: DataFrame) -> DataFrame:
