@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactscope.functions import anchors
 from pactscope.functions import lexicon as lex
-from pactscope.functions.walks import kept_positions
+from pactscope.functions.walks import kept_positions, pages_in_order
 from pactscope.functions.text import (
     contains_any,
     escape_pattern,
@@ -99,81 +100,103 @@ def page_text_or_rebuilt(clauses: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def containing_page(clauses: DataFrame, pages: DataFrame) -> DataFrame:
-    """First page of the document that holds the clause text, null when none does."""
-    c, p = clauses.alias("c"), pages.select("doc_id", F.col("page_no").alias("_page"), F.col("text").alias("_page_text")).alias("p")
-    hit = (F.col("c.doc_id") == F.col("p.doc_id")) & F.contains("p._page_text", F.col("c.text"))
-    found = c.join(p, hit).groupBy("c.doc_id", "c.idx").agg(F.min("_page").alias("found_page"))
-    return clauses.select("doc_id", "idx").join(found, ["doc_id", "idx"], "left")
+# -- G8, X7: texts and the pages that hold them ------------------------------
+_TESTS = {
+    "raw": F.contains,
+    "flat": lambda page, pattern: F.contains(normalize_ws(page), pattern),
+    "low": lambda page, pattern: F.contains(F.lower(page), pattern),
+}
 
 
-def attribute_pages(clauses: DataFrame, pages: DataFrame) -> DataFrame:
-    """Page of each clause: exact text, then its beginning from the current page on, then its first lines,
-    then a distinctive title, else the page of the clause before.
+def pages_holding(patterns: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Patterns (doc_id, keys, pattern, test) with ``found``: one row per page of the document that holds the pattern, and
+    at least one row per pattern, ``found`` null where there is no page.
 
-    The choice depends on the clause before, so a document's clauses are folded in order over its
-    pages; both are bounded by the admission limit for one file.
+    Patterns meet pages by an anchor of their text (see ``functions.anchors``) and only then are compared. Pages are
+    indexed by long anchors; by short ones too where their document has short patterns, and as a whole where it has
+    patterns too short for any anchor.
     """
-    page_list = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("_pages"))
-    page_list = page_list.withColumn(
-        "_pages",
-        F.transform(
-            "_pages",
-            lambda p: F.struct(
-                p["page_no"].alias("no"), p["text"].alias("raw"), normalize_ws(p["text"]).alias("flat"),
-                F.lower(p["text"]).alias("low"),
-            ),
-        ),
+    form = anchors.plain(F.col("pattern"))
+    size = F.octet_length("_plain")
+    wanted = patterns.withColumn("_plain", form).withColumn(
+        "_kind", F.when(size.isNull(), -1).when(size >= anchors.least_bytes(anchors.LONG), 0).when(size >= anchors.least_bytes(anchors.SHORT), 1).otherwise(2)
+    )
+    by_kind = [
+        anchors.pattern_anchor(F.when(F.col("_kind") == i, F.col("_plain")), kind) for i, kind in enumerate((anchors.LONG, anchors.SHORT))
+    ]
+    wanted = wanted.withColumn("_anchor", F.coalesce(*by_kind, F.lit(0).cast("bigint"))).drop("_plain")
+
+    needs = wanted.groupBy("doc_id").agg(F.max("_kind").alias("_most"), F.max(F.col("_kind") == 1).alias("_short"))
+    texts = pages.select("doc_id", F.col("page_no").alias("_page"), F.col("text").alias("_page_text"))
+    told = texts.join(needs, "doc_id").withColumn("_plain", anchors.plain(F.col("_page_text")))
+    indexed = told.select(
+        "doc_id", "_page",
+        F.array(
+            F.struct(F.lit(0).alias("_kind"), anchors.page_anchors(F.col("_plain"), anchors.LONG).alias("a")),
+            F.struct(F.lit(1).alias("_kind"), anchors.page_anchors(F.when(F.col("_short"), F.col("_plain")), anchors.SHORT).alias("a")),
+            F.struct(F.lit(2).alias("_kind"), F.when(F.col("_most") == 2, F.array(F.lit(0).cast("bigint"))).alias("a")),
+        ).alias("_i"),
     )
-    joined = clauses.join(page_list, "doc_id", "left")
-    none = F.lit(None).cast("int")
+    index = indexed.select("doc_id", "_page", F.inline("_i")).select("doc_id", "_page", "_kind", F.explode("a").alias("_anchor"))
 
-    def first_page(test) -> Column:
-        return F.get(F.transform(F.filter("_pages", test), lambda p: p["no"]), F.lit(0))
+    met = wanted.join(index, ["doc_id", "_kind", "_anchor"], "left").drop("_kind", "_anchor")
+    both = met.join(texts, ["doc_id", "_page"], "left")
+    holds = F.lit(False)
+    for name, test in _TESTS.items():
+        holds = F.when(F.col("test") == name, test(F.col("_page_text"), F.col("pattern"))).otherwise(holds)
+    return both.select("doc_id", *keys, F.when(holds, F.col("_page")).alias("found"))
 
+
+def containing_page(clauses: DataFrame, pages: DataFrame) -> DataFrame:
+    """First page of the document that holds the clause text, null when none does."""
+    patterns = clauses.select("doc_id", "idx", F.col("text").alias("pattern"), F.lit("raw").alias("test"))
+    return pages_holding(patterns, pages, ["idx"]).groupBy("doc_id", "idx").agg(F.min("found").alias("found_page"))
+
+
+def _page_patterns() -> tuple[Column, Column]:
+    """What G8 looks for on pages: (tier, pattern, test) of the text, its beginning and its first lines; and the title."""
     head = normalize_ws(F.substring("text", 1, 140))
-    starts = F.when(
-        F.length(head) > 15,
-        F.transform(F.filter("_pages", lambda p: F.contains(p["flat"], head)), lambda p: p["no"]),
-    )
     lines = F.filter(
         F.transform(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), strip), lambda x: F.length(x) > 18
     )
     telling = F.filter(F.slice(lines, 1, 3), lambda x: ~contains_any(F.upper(x), lex.RUNNING_HEADER_WORDS))
-    by_line = F.get(
-        F.filter(
-            F.transform(telling, lambda x: first_page(lambda p: F.contains(p["raw"], F.substring(x, 1, 50)))),
-            lambda n: n.isNotNull(),
+
+    def pattern(tier: Column, text: Column, test: str) -> Column:
+        return F.struct(tier.cast("int").alias("tier"), text.alias("pattern"), F.lit(test).alias("test"))
+
+    body = F.concat(
+        F.array(pattern(F.lit(0), F.col("text"), "raw"), pattern(F.lit(1), F.when(F.length(head) > 15, head), "flat")),
+        F.coalesce(
+            F.transform(telling, lambda x, i: pattern(i + 2, F.substring(x, 1, 50), "raw")),
+            F.array().cast("array<struct<tier:int,pattern:string,test:string>>"),
         ),
-        F.lit(0),
     )
     title = F.lower(strip(sub(F.col("title"), lex.TITLE_PREFIX, "", flags="i")))
-    by_title = F.when(
-        (F.length(title) > 8) & ~title.isin(lex.GENERIC_TITLES), first_page(lambda p: F.contains(p["low"], title))
-    )
-    tiers = joined.select(
-        "doc_id",
-        F.struct(
-            F.col("idx"),
-            first_page(lambda p: F.contains(p["raw"], F.col("text"))).alias("exact"),
-            starts.alias("starts"),
-            F.coalesce(by_line, by_title).alias("late"),
-        ).alias("c"),
+    return body, F.when((F.length(title) > 8) & ~title.isin(lex.GENERIC_TITLES), title)
+
+
+def attribute_pages(clauses: DataFrame, pages: DataFrame) -> DataFrame:
+    """Page of each clause: exact text, then its beginning from the current page on, then its first lines,
+    then a distinctive title, else the page of the clause before.
+
+    Texts and pages meet in joins by anchors; titles only where nothing else of a clause was found. The choice depends on
+    the clause before, so numbers of a contract's clauses are walked through in order at the end.
+    """
+    body, title = _page_patterns()
+    looked_for = clauses.select("doc_id", "idx", title.alias("_title"), F.inline(body))
+    seen = pages_holding(looked_for.where((F.col("tier") == 0) | F.col("pattern").isNotNull()), pages, ["idx", "tier", "_title"])
+
+    def first(tier: int) -> Column:
+        return F.min(F.when(F.col("tier") == tier, F.col("found")))
+
+    tiers = seen.groupBy("doc_id", "idx").agg(
+        first(0).alias("exact"), F.sort_array(F.collect_set(F.when(F.col("tier") == 1, F.col("found")))).alias("starts"),
+        F.coalesce(*[first(t) for t in (2, 3, 4)]).alias("by_line"), F.max("_title").alias("pattern"),
     )
-    listed = tiers.groupBy("doc_id").agg(F.array_sort(F.collect_list("c"), lambda a, b: a["idx"] - b["idx"]).alias("_c"))
-
-    def step(acc, c):
-        last = acc["last"]
-        forward = F.array_min(F.filter(c["starts"], lambda n: n >= last))
-        page = F.coalesce(c["exact"], forward, F.array_min(c["starts"]), c["late"], last)
-        return F.struct(
-            F.concat(acc["rows"], F.array(F.struct(c["idx"].alias("idx"), page.alias("page_no")))).alias("rows"),
-            page.alias("last"),
-        )
-
-    folded = F.aggregate(
-        "_c",
-        F.struct(F.array().cast("array<struct<idx:int,page_no:int>>").alias("rows"), F.lit(1).alias("last")),
-        step,
-    )["rows"]
-    return listed.select("doc_id", F.inline(folded))
+    unseen = F.col("exact").isNull() & (F.size("starts") == 0) & F.col("by_line").isNull()
+    titled = tiers.withColumn("pattern", F.when(unseen, F.col("pattern"))).withColumn("test", F.lit("low"))
+    found = pages_holding(titled, pages, ["idx", "exact", "starts", "by_line"])
+    each = found.groupBy("doc_id", "idx", "exact", "starts").agg(F.coalesce(F.min("by_line"), F.min("found")).alias("late"))
+    listed = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "exact", "starts", "late"))).alias("_c"))
+    chosen = pages_in_order(F.col("_c.exact"), F.col("_c.starts"), F.col("_c.late"))
+    return listed.select("doc_id", F.inline(F.arrays_zip(F.col("_c.idx").alias("idx"), chosen.alias("page_no"))))
