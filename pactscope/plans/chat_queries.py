@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pactscope.functions import citations
 from pactscope.functions import lexicon as lex
 from pactscope.functions.wording import COUNSEL_QUESTIONS
-from pactscope.operators import brief, chat, ranking, score
+from pactscope.operators import brief, chat, ranking, retrieval, score
 from pactscope.plans import oracle_core as oc
+from pactscope.plans.retrieval_queries import ASKED, SCORES, _top
 from pactscope.plans.rule_queries import _FAMILY_OF, assessed
 from pactscope.sources import corpus
 from pactscope.streaming import assembly, audit, citation_filter, runs
@@ -257,11 +258,46 @@ def k1_batch(spark, sf_dir):
     return corpus.answers(spark, sf_dir).select("doc_id", citations.visible_text(F.col("raw")).alias("shown"))
 
 
-@query("k3_message_assembly", ORACLE["a9_message_text"].removeprefix("WITH "))
+_CITED = "'clause_1,clause_' || (2 + turn) || ',clause_' || (3 + turn + conv_id % 2)"
+
+
+def message_events(messages):
+    """Events of messages (conv_id, turn, text): a token per word, two citation events that overlap, "done"."""
+    words = F.split("text", " ")
+    n, third = F.size(words), F.col("turn") + 3 + F.col("conv_id") % 2
+
+    def event(seq, kind, content, ids):
+        return F.struct(seq.cast("int").alias("seq"), F.lit(kind).alias("type"), content.cast("string").alias("content"),
+                        ids.cast("array<string>").alias("clause_ids"))
+
+    nothing, second = F.lit(None), F.concat(F.lit("clause_"), F.col("turn") + 2)
+    tokens = F.transform(words, lambda w, i: event(i, "token", F.when(i < n - 1, F.concat(w, F.lit(" "))).otherwise(w), nothing))
+    rest = F.array(
+        event(n, "citation", nothing, F.array(F.lit("clause_1"), second)),
+        event(n + 1, "citation", nothing, F.array(second, F.concat(F.lit("clause_"), third))),
+        event(n + 2, "done", nothing, nothing),
+    )
+    return messages.select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), F.inline(F.concat(tokens, rest)))
+
+
+_ASSEMBLED = f"""x AS (SELECT 1) SELECT conv_id * 1000 + turn AS msg_id, 'done' AS status, md5(text) AS digest,
+  len(string_split(text, ' ')) AS n_chunks, {_CITED} AS cited FROM conversations"""
+
+
+def _assembled(messages):
+    return messages.select("msg_id", "status", F.md5("text").alias("digest"), *BIG("n_chunks"), F.array_join("clause_ids", ",").alias("cited"))
+
+
+@query("k3_message_assembly", _ASSEMBLED)
 def k3(spark, sf_dir):
-    source = runs.table_stream(spark, sf_dir, "conversations")
-    chunks = corpus.message_chunks(_messages(source))
-    return assembly.run_to_table(spark, chunks).select("msg_id", F.md5("text").alias("digest"), *BIG("n_chunks"))
+    events = message_events(runs.table_stream(spark, sf_dir, "conversations"))
+    return _assembled(assembly.run_to_table(spark, events))
+
+
+@query("k3_message_assembly_batch", _ASSEMBLED)
+def k3_batch(spark, sf_dir):
+    """The same over a table, without state."""
+    return _assembled(assembly.assemble_batch(message_events(corpus.table(spark, sf_dir, "conversations"))))
 
 
 _AUDITED = oc.ASSESSED.replace(
@@ -271,7 +307,31 @@ cl AS MATERIALIZED (SELECT doc_id, idx, clause_id, title, title || chr(10) || te
 )
 
 
+def _audited(spark, sf_dir):
+    return audit.run_to_tables(spark, corpus.paged_files_of(_contract_stream(spark, sf_dir)))
+
+
 @query("k5_audit_stream", _AUDITED + f" SELECT * FROM {oc.fairness_of('asd')}")
 def k5(spark, sf_dir):
-    texts = corpus.documents_of(_contract_stream(spark, sf_dir)).select("doc_id", "text")
-    return audit.run_to_table(spark, texts)
+    return audit.committed(spark, _audited(spark, sf_dir), "scores")
+
+
+@query("k5_indexed_retrieval", _AUDITED + "," + ASKED + SCORES + _top(4) + " SELECT * FROM top")
+def k5_retrieval(spark, sf_dir):
+    """Questions answered from the vectors that the stream wrote."""
+    index = audit.committed(spark, _audited(spark, sf_dir), "index")
+    return retrieval.retrieve_top_k(corpus.questions(spark, sf_dir), index, 4).select("doc_id", *BIG("q_no", "idx", "pos"))
+
+
+@query(
+    "k5_located_clauses",
+    _AUDITED + """,
+      sheets AS (SELECT doc_id, page_no, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS page FROM cl GROUP BY doc_id, page_no)
+      SELECT a.doc_id, a.idx, a.title, CAST(a.page_no AS BIGINT) AS page_no, instr(page, a.text) - 1 AS start_offset,
+        instr(page, a.text) - 1 + length(a.text) AS end_offset, rule, risk_level, CAST(unfairness AS BIGINT) AS unfairness
+      FROM asd a JOIN sheets s ON s.doc_id = a.doc_id AND s.page_no = a.page_no""",
+)
+def k5_located(spark, sf_dir):
+    """From the uploaded file to judged clauses with page and offsets, in one plan."""
+    out = audit.audit(corpus.paged_files(spark, sf_dir))
+    return out.select("doc_id", *BIG("idx"), "title", *BIG("page_no", "start_offset", "end_offset"), "rule", "risk_level", *BIG("unfairness"))

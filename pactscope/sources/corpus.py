@@ -210,6 +210,10 @@ def documents_of(contract_rows: DataFrame, divided: bool = False) -> DataFrame:
 
 def paged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File texts with form feeds between pages of three clauses and a blank page at the end."""
+    return paged_files_of(contracts(spark, sf_dir))
+
+
+def paged_files_of(contract_rows: DataFrame) -> DataFrame:
     d, n = F.col("doc_id"), F.col("n_clauses")
     page_count = F.ceil(n / 3).cast("int")
 
@@ -220,7 +224,7 @@ def paged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(members, "\n\n")
 
     pages = F.transform(F.sequence(F.lit(1), page_count), page)
-    return contracts(spark, sf_dir).select(
+    return contract_rows.select(
         "doc_id", "filename", F.concat(F.array_join(pages, "\r\n\f"), F.lit("\f  \n")).alias("file_text")
     )
 

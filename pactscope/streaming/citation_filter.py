@@ -11,7 +11,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import StringType, StructField, StructType
 
 from pactscope.functions.lexicon import CITATION
-from pactscope.streaming.runs import ROCKSDB, shared_folder
+from pactscope.streaming.runs import finite_keyed_run, shared_folder
 
 OUTPUT = "msg_id long, seq int, content string"
 
@@ -74,16 +74,11 @@ def filter_citation_markers(chunks: DataFrame) -> DataFrame:
 def run_to_table(spark: SparkSession, chunks: DataFrame) -> DataFrame:
     """Drives the stream over all input there is and returns what it wrote."""
     folder = shared_folder(spark, "citation-filter")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
-    try:
+    with finite_keyed_run(spark):
         run = (
             filter_citation_markers(chunks).writeStream.format("parquet").outputMode("append")
             .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
             .trigger(availableNow=True).start()
         )
         run.awaitTermination()
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.schema(OUTPUT).parquet(f"{folder}/out")
