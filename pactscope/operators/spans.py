@@ -113,8 +113,8 @@ def pages_holding(patterns: DataFrame, pages: DataFrame, keys: list[str]) -> Dat
     at least one row per pattern, ``found`` null where there is no page.
 
     Patterns meet pages by an anchor of their text (see ``functions.anchors``) and only then are compared. Pages are
-    indexed by long anchors; by short ones too where their document has short patterns, and as a whole where it has
-    patterns too short for any anchor.
+    indexed by what their document needs: long anchors, short ones where it has short patterns, and as a whole where it
+    has patterns too short for any anchor.
     """
     form = anchors.plain(F.col("pattern"))
     size = F.octet_length("_plain")
@@ -126,15 +126,15 @@ def pages_holding(patterns: DataFrame, pages: DataFrame, keys: list[str]) -> Dat
     ]
     wanted = wanted.withColumn("_anchor", F.coalesce(*by_kind, F.lit(0).cast("bigint"))).drop("_plain")
 
-    needs = wanted.groupBy("doc_id").agg(F.max("_kind").alias("_most"), F.max(F.col("_kind") == 1).alias("_short"))
+    needs = wanted.where("_kind >= 0").groupBy("doc_id").agg(*[F.max(F.col("_kind") == k).alias(f"_has_{k}") for k in range(3)])
     texts = pages.select("doc_id", F.col("page_no").alias("_page"), F.col("text").alias("_page_text"))
     told = texts.join(needs, "doc_id").withColumn("_plain", anchors.plain(F.col("_page_text")))
     indexed = told.select(
         "doc_id", "_page",
         F.array(
-            F.struct(F.lit(0).alias("_kind"), anchors.page_anchors(F.col("_plain"), anchors.LONG).alias("a")),
-            F.struct(F.lit(1).alias("_kind"), anchors.page_anchors(F.when(F.col("_short"), F.col("_plain")), anchors.SHORT).alias("a")),
-            F.struct(F.lit(2).alias("_kind"), F.when(F.col("_most") == 2, F.array(F.lit(0).cast("bigint"))).alias("a")),
+            F.struct(F.lit(0).alias("_kind"), anchors.page_anchors(F.when(F.col("_has_0"), F.col("_plain")), anchors.LONG).alias("a")),
+            F.struct(F.lit(1).alias("_kind"), anchors.page_anchors(F.when(F.col("_has_1"), F.col("_plain")), anchors.SHORT).alias("a")),
+            F.struct(F.lit(2).alias("_kind"), F.when(F.col("_has_2"), F.array(F.lit(0).cast("bigint"))).alias("a")),
         ).alias("_i"),
     )
     index = indexed.select("doc_id", "_page", F.inline("_i")).select("doc_id", "_page", "_kind", F.explode("a").alias("_anchor"))

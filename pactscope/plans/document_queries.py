@@ -9,7 +9,8 @@ from pactscope.functions.text import flag, normalize_ws, strip
 from pactscope.operators import batching, prepare, segment, spans
 from pactscope.plans import oracle_core as oc
 from pactscope.plans.rule_queries import assessed
-from pactscope.sources import corpus
+from pactscope.sources import corpus, files
+from pactscope.streaming import runs
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -51,13 +52,21 @@ def p1(spark, sf_dir):
     return cleaned.select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("bigint").alias("n"))
 
 
-@query("s1_read_contract_text", f"""x AS (SELECT 1) SELECT doc_id, 1::BIGINT AS page_no, md5({clean('text')}) AS digest FROM documents""")
+@query(
+    "s1_read_contract_text",
+    f"""x AS (SELECT 1) SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN 'INVALID_FILE_TYPE' WHEN {clean('text')} = '' THEN 'PARSING_FAILED'
+      ELSE 'ACCEPTED' END AS outcome, 1::BIGINT AS page_no, CASE WHEN doc_id % 50 <> 7 THEN md5({clean('text')}) END AS digest FROM documents""",
+)
 def s1(spark, sf_dir):
-    """The text table as file bytes, read back the way a text file is."""
-    files = corpus.table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    out = files.select("doc_id", F.lit(1).cast("bigint").alias("page_no"),
-                       prepare.clean_text(prepare.decode_text(F.col("content"))).alias("t"))
-    return out.select("doc_id", "page_no", F.md5("t").alias("digest"))
+    """The text table written as one file per document and read back; every fiftieth one is of a kind that isn't read."""
+    table = corpus.table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = runs.shared_folder(spark, "files")
+    files.write_text_files(table.where("doc_id % 50 <> 7"), f"{folder}/texts")
+    table.where("doc_id % 50 = 7").repartition("doc_id").write.partitionBy("doc_id").json(f"{folder}/others")
+    read = files.contract_files(spark, folder)
+    doc = F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("bigint")
+    return read.where(F.contains("path", F.lit("doc_id="))).select(
+        doc.alias("doc_id"), F.coalesce("error_code", F.lit("ACCEPTED")).alias("outcome"), *BIG("page_no"), F.md5("text").alias("digest"))
 
 
 @query("p3_normalize_ws", f"x AS (SELECT 1) SELECT doc_id, length({squeeze('text')}) AS n, md5(lower({squeeze('text')})) AS digest FROM documents")
