@@ -9,7 +9,7 @@ from __future__ import annotations
 from pactscope.functions.lexicon import PATTERNS, RISK_ORDINAL, UNILATERAL_EXTENSION, WORDS, WS_CHARS, WS_CLASS
 from pactscope.functions import lexicon as lex
 from pactscope.functions.wording import OUTCOMES
-from pactscope.sources.corpus import QUESTIONS, TEMPLATES
+from pactscope.sources.corpus import ALL_TEMPLATES, QUESTIONS, TEMPLATES
 
 
 def q(text: str) -> str:
@@ -47,7 +47,9 @@ def ordinal(column: str) -> str:
     return "CASE " + column + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RISK_ORDINAL.items()) + " ELSE 0 END"
 
 
-_VALUES = ", ".join(f"({i}, {q(t)}, {q(b)})" for i, (t, b) in enumerate(TEMPLATES))
+def _values(templates: list[tuple[str, str]]) -> str:
+    return ", ".join(f"({i}, {q(t)}, {q(b)})" for i, (t, b) in enumerate(templates))
+
 
 CONTRACTS = """
 contracts AS (
@@ -61,16 +63,26 @@ contracts AS (
     o_orderstatus AS status
   FROM orders)"""
 
-CLAUSES = (
-    f"template(t, ttl, body) AS (VALUES {_VALUES}),"
-    + CONTRACTS
-    + """,
+def _clauses(templates: list[tuple[str, str]]) -> str:
+    return (
+        f"template(t, ttl, body) AS (VALUES {_values(templates)}),"
+        + CONTRACTS
+        + """,
 cl AS MATERIALIZED (
   SELECT c.doc_id, c.idx, 'clause_' || c.idx AS clause_id, c.idx || '. ' || t.ttl AS title,
          replace(t.body, '{ref}', CAST(1 + (c.doc_id + c.idx) % c.n AS VARCHAR)) AS text, 1 + (c.idx - 1) // 3 AS page_no
   FROM (SELECT doc_id, n, unnest(generate_series(1, n)) AS idx FROM contracts) c
-  JOIN template t ON t.t = (c.doc_id * 7 + c.idx * 11) % 26)"""
-)
+  JOIN template t ON t.t = (c.doc_id * 7 + c.idx * 11) % """ + f"{len(templates)})"
+    )
+
+
+CLAUSES, ALL_CLAUSES = _clauses(TEMPLATES), _clauses(ALL_TEMPLATES)
+
+
+def over_all_templates(sql: str) -> str:
+    """The same SQL over clauses of all templates."""
+    return sql.replace(CLAUSES, ALL_CLAUSES)
+
 
 FLAGS = (
     CLAUSES

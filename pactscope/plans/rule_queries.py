@@ -69,6 +69,16 @@ def r1(spark, sf_dir):
     return out.select(*_keys(), *lex.PATTERNS)
 
 
+@query(
+    "r1_pattern_flags_all_templates",
+    oc.over_all_templates(oc.FLAGS) + " SELECT doc_id, idx, " + ", ".join(_flag_sql(n) for n in lex.PATTERNS) + " FROM lo",
+)
+def r1_all(spark, sf_dir):
+    """Over templates that reach every pattern."""
+    out = rules.pattern_flags(corpus.clauses(spark, sf_dir, corpus.ALL_TEMPLATES))
+    return out.select(*_keys(), *lex.PATTERNS)
+
+
 @query("r2_classify_kind", oc.FLAGS + " SELECT doc_id, idx, clause_kind FROM kb")
 def r2(spark, sf_dir):
     return rules.with_structure(corpus.clauses(spark, sf_dir)).select(*_keys(), "clause_kind")
@@ -138,9 +148,9 @@ def _register_rule(rule_id: str, name: str) -> None:
         array_to_string(risk_reasons, '; ') AS reasons
       FROM (SELECT *, {oc.RULE_SQL[rule_id]} AS rule FROM own) JOIN outcome USING (rule)"""
 
-    @query(name, sql)
+    @query(name, oc.over_all_templates(sql))
     def run(spark, sf_dir):
-        out = rules.single_rule(corpus.clauses(spark, sf_dir), rule_id)
+        out = rules.single_rule(corpus.clauses(spark, sf_dir, corpus.ALL_TEMPLATES), rule_id)
         return out.select(
             *_keys(), "rule", "category", "risk_level", F.col("unfairness").cast("bigint").alias("unfairness"),
             F.array_join("risk_reasons", "; ").alias("reasons"),
@@ -173,6 +183,12 @@ def r19(spark, sf_dir):
     return _assessment(assessed(spark, sf_dir))
 
 
+@query("r19_evaluate_documents_all_templates", oc.over_all_templates(oc.ASSESSED) + _ASSESSMENT_SQL)
+def r19_all(spark, sf_dir):
+    """Over templates that reach every rule and every outcome."""
+    return _assessment(xref.evaluate_documents(corpus.clauses(spark, sf_dir, corpus.ALL_TEMPLATES)))
+
+
 # -- R20-R25 ----------------------------------------------------------------
 _FAMILY_SQL = "CASE " + " ".join(
     f"WHEN {oc.any_of('said', words)} THEN {oc.q(COUNTER_TEXTS[name])}" for name, words in lex.COUNTER_FAMILIES
@@ -221,11 +237,11 @@ def r22(spark, sf_dir):
     oc.ASSESSED + f""" SELECT doc_id, fairness,
       CASE WHEN fairness >= 75 THEN 'FAIR' WHEN fairness >= 50 THEN 'MODERATE' ELSE 'HIGH_RISK' END AS band,
       CASE WHEN fairness >= 75 THEN 'Fair and balanced: ordinary terms'
-        WHEN fairness >= 50 THEN 'Moderate risk: ' || CAST(medium_count AS BIGINT) || ' unfavorable clause'
+        WHEN fairness >= 50 THEN 'Moderate risk: ' || CAST(medium_count AS BIGINT) || ' one-sided clause'
           || CASE WHEN medium_count = 1 THEN '' ELSE 's' END
-        WHEN high_count > 0 THEN 'High risk: ' || CAST(high_count AS BIGINT) || ' critical trap'
+        WHEN high_count > 0 THEN 'High risk: ' || CAST(high_count AS BIGINT) || ' severe clause'
           || CASE WHEN high_count = 1 THEN '' ELSE 's' END
-        ELSE 'High risk: substantive imbalances' END AS headline,
+        ELSE 'High risk: terms lean to one side' END AS headline,
       CASE WHEN fairness < 50 THEN 'High Risk' WHEN fairness < 75 THEN 'Moderate' ELSE 'Balanced' END AS verdict
       FROM {oc.fairness_of('asd')}""",
 )
@@ -296,11 +312,12 @@ _VERB_SQL = "CASE relation " + " ".join(f"WHEN '{k}' THEN {oc.q(v)}" for k, v in
 
 @query(
     "x3_reference_relation",
-    oc.REFS + f""" SELECT doc_id, src_idx, dst_idx, relation,
+    oc.over_all_templates(oc.REFS) + f""" SELECT doc_id, src_idx, dst_idx, relation,
       'This clause ' || {_VERB_SQL} || ' Section ' || label AS explanation FROM edges WHERE src_idx <> dst_idx""",
 )
 def x3(spark, sf_dir):
-    out = xref.explain_references(xref.resolve_references(corpus.clauses(spark, sf_dir)))
+    """Over templates that reach every relation."""
+    out = xref.explain_references(xref.resolve_references(corpus.clauses(spark, sf_dir, corpus.ALL_TEMPLATES)))
     return out.select(
         "doc_id", F.col("src_idx").cast("bigint").alias("src_idx"), F.col("dst_idx").cast("bigint").alias("dst_idx"),
         "relation", "explanation",

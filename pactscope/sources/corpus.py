@@ -2,7 +2,7 @@
 
 The given text tables hold no legal language, so a deterministic contract
 corpus is spread over ``orders``: one contract per order, 4 to 12 clauses each,
-every clause an instance of one of 26 templates. The same formulas can be
+every clause an instance of one of a list of templates. The same formulas can be
 written in any SQL dialect. All of it is a narrow projection of one scan.
 """
 
@@ -48,6 +48,37 @@ TEMPLATES: list[tuple[str, str]] = [
     ("BACKGROUND", "WHEREAS, the parties wish to work together on a project."),
 ]
 
+# Further clause templates, for rules that the ones above never reach
+RARE_TEMPLATES: list[tuple[str, str]] = [
+    ("NO INDEMNITY", "Contractor shall not indemnify Client for any loss of data."),
+    ("LOCK", "Neither party may terminate without cause and neither party shall sublet the rooms."),
+    ("RESTRAINT", "Neither party shall solicit the staff of the other."),
+    ("DISCLAIMER", "Each party shall not be liable for indirect damages."),
+    ("BACKGROUND IP", "Whatever a side brought along stays its own and all deliverables may use it."),
+    ("SPECIFICATION", "The deliverables must meet the specification in Exhibit C."),
+    ("TERM WITH LOSS", "This Agreement commences on the signing day and Contractor shall forfeit the bond on early expiry."),
+    ("TERM BY CHOICE", "This Agreement commences on the signing day, and Client may extend it without consent."),
+    ("ROLLOVER WITH LOSS", "This Agreement shall automatically renew and no compensation is owed for the last month."),
+    ("CUSTOMARY RENEWAL", "This Agreement shall renew for successive terms when both parties agree."),
+    ("MUTUAL EXIT", "Either party may terminate this Agreement for cause."),
+    ("NO EARLY EXIT", "Client shall not terminate this Agreement before the first anniversary."),
+    ("EXIT FOR CAUSE", "Client may terminate this Agreement for cause."),
+    ("EXIT UNDER TERMS", "Client may terminate this Agreement for cause, subject to Section {ref}."),
+    ("INSPECTION", "Landlord makes a routine inspection each spring."),
+    ("SCHEDULE", "Part Two"),
+    ("LAW", "This Agreement is governed by the laws of the State of Ohio."),
+    ("NOTICES", "Notices shall be in writing and addressed to the parties."),
+    ("SEVERABILITY", "If any provision is found invalid the remaining provisions shall continue."),
+    ("WHOLE AGREEMENT", "This is the entire agreement and supersedes all prior understandings."),
+    ("MEANINGS", "As defined in Section {ref}."),
+    ("RANK OF PARTS", "This part shall prevail in any conflict with Section {ref}."),
+    ("ADDED DUTIES", "In addition to Section {ref} the staff is trained twice a year."),
+    ("MENTION", "Tools are listed near Section {ref} of the annex."),
+    ("EASED INDEMNITY", "Contractor shall indemnify Client for any and all claims after 30 days written notice, subject to Section {ref}."),
+    ("WAIVER", "Waiver of any breach is no waiver of later ones and headings are for convenience only."),
+]
+ALL_TEMPLATES = TEMPLATES + RARE_TEMPLATES
+
 # Questions asked about contracts
 QUESTIONS: list[str] = [
     "What are the biggest risks in this agreement?",
@@ -99,25 +130,19 @@ def contracts_of(orders: DataFrame) -> DataFrame:
     )
 
 
-def _template(field: int, number: Column) -> Column:
-    return F.get(F.array(*[F.lit(t[field]) for t in TEMPLATES]), number)
-
-
-def clause_columns(doc_id: Column, n: Column, idx: Column) -> dict[str, Column]:
-    number = ((doc_id * 7 + idx * 11) % 26).cast("int")
+def clause_columns(doc_id: Column, n: Column, idx: Column, templates: list[tuple[str, str]] = TEMPLATES) -> dict[str, Column]:
+    number = ((doc_id * 7 + idx * 11) % len(templates)).cast("int")
     ref = (1 + (doc_id + idx) % n).cast("string")
-    return {
-        "title": F.concat(idx.cast("string"), F.lit(". "), _template(0, number)),
-        "text": F.replace(_template(1, number), F.lit("{ref}"), ref),
-    }
+    title, text = (F.get(F.array(*[F.lit(t[field]) for t in templates]), number) for field in (0, 1))
+    return {"title": F.concat(idx.cast("string"), F.lit(". "), title), "text": F.replace(text, F.lit("{ref}"), ref)}
 
 
-def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clauses(spark: SparkSession, sf_dir: str, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """Unscored clauses of the corpus, keyed by (doc_id, idx)."""
     rows = contracts(spark, sf_dir).select(
         "doc_id", "n_clauses", F.explode(F.sequence(F.lit(1), F.col("n_clauses"))).alias("idx")
     )
-    cols = clause_columns(F.col("doc_id"), F.col("n_clauses"), F.col("idx"))
+    cols = clause_columns(F.col("doc_id"), F.col("n_clauses"), F.col("idx"), templates)
     return rows.select(
         "doc_id",
         "idx",
