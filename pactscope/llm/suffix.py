@@ -418,23 +418,25 @@ def _digested(length: int):
             rows = []
             for text, runs in zip(batch["data"], batch["runs"], strict=True):
                 text, spans = text.as_py(), _spans(runs.as_py(), length)
-                rows.append((len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_kept(text, spans)).hexdigest()))
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+                digest = hashlib.sha256(_kept(text, spans)).hexdigest()
+                rows.append((len(text), sum(b - a for a, b in spans), len(spans), digest, _shortened(text, spans)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"],
             )
 
     return run
 
 
 def removal_report(docs: DataFrame, length: int = 400) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that stay."""
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that stay, and these as text
+    (characters that a removed run covers in part stay whole)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = _with_runs(docs.select("doc_id", "text"), length, "mark", "data", "runs").drop("text")
     return found.select("doc_id", "data", "runs").mapInArrow(
-        _digested(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        _digested(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
     )
 
 
