@@ -11,9 +11,10 @@ hot id doesn't fill one file. Tasks write under names of their own and return th
 written before anything is read, belong to the data set, so a task that ran twice leaves nothing behind in it. Files go to
 the shared folder through any file system that pyarrow opens by URI.
 
-Encoding: texts are cut before blanks that a non-blank character follows and at single line ends inside text, where the
-byte-level pre-tokenizer always cuts as well; each distinct piece is encoded once per batch and kept for later batches, up to
-KEPT pieces. Texts that hold a special token's string are encoded as a whole.
+Encoding works on columns: the joined bytes of some texts are cut before blanks that a character follows which is surely not
+blank, and around single line ends inside text, where the byte-level pre-tokenizer always cuts as well. The pieces become a
+dictionary column; each different piece is encoded once and kept for later blocks, and ids are gathered by the pieces' places.
+Texts that hold a special token's string are one piece.
 
 Edge cases: null counts as empty, and every document gets the end id. Null ids come first. Rows that repeat an id have a
 record each. An empty table gives an empty manifest and result. Other columns of the input are not looked at.
@@ -22,13 +23,14 @@ record each. An empty table gives an empty manifest and result. Other columns of
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,11 +41,15 @@ from pactscope.llm.common import cut
 MAGIC, MASK = b"PSREC1\n", 0xA282EAD8
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("offset", "<u8"), ("n", "<u4")])
 
-#: Bytes of text for one file, bytes after which a task starts a new one, pieces that a worker keeps encoded.
-FILE_TEXT, FILE_BYTES, KEPT = 24 << 20, 128 << 20, 400_000
+#: Bytes of text for one file, bytes after which a task starts a new one; bytes of text that a worker encodes at a time (or
+#: one text), pieces and ids of pieces that it keeps.
+FILE_TEXT, FILE_BYTES, BLOCK, KEPT, KEPT_IDS = 24 << 20, 128 << 20, 4 << 20, 400_000, 8 << 20
 
-_LINES = re.compile(r"(?<=\S)\n(?=\S)").split
-_BLANKS = re.compile(r" (?=\S)").split
+#: First bytes of characters that are surely not blank (some characters that start with C2, E1, E2 or E3 are), and bytes of
+#: printed ASCII characters.
+_PLAIN, _PRINTED = np.zeros(256, bool), np.zeros(256, bool)
+_PRINTED[0x21:0x7F] = True
+_PLAIN[0x21:0x7F] = _PLAIN[0xC3:0xE1] = _PLAIN[0xE4:0xF5] = True
 
 
 def masked(data: bytes) -> int:
@@ -68,8 +74,17 @@ def unframed(blob: memoryview, at: int) -> memoryview:
     return data
 
 
+def _spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of the texts in their joined bytes, and those bytes; nothing is copied but the offsets."""
+    texts = texts.cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return offsets - offsets[0], data[offsets[0] : offsets[-1]]
+
+
 class Encoder:
-    """Ids of whole texts, as bytes, from the JSON of a byte-level tokenizer."""
+    """Ids of whole texts from the JSON of a byte-level tokenizer, a column of texts at a time."""
 
     def __init__(self, json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,38 +92,66 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(json)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda _: None
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.line = self.whole(["\n"])[0]
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
-
-    def _known(self, kept: dict[str, bytes], pieces: set[str], blank: str) -> dict[str, bytes]:
-        new = list(pieces - kept.keys())
-        found = dict(zip(new, self.whole([blank + p for p in new]), strict=True))
-        if len(kept) + len(new) > KEPT:
-            return {p: kept[p] for p in pieces & kept.keys()} | found
-        kept.update(found)
-        return kept
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the table of pieces: the place of each, and where its ids start and how many they are in one array."""
+        self.places: dict[str, int] = {}
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def _placed(self, pieces: list[str]) -> np.ndarray:
+        """Places of different pieces in the table; new ones are encoded and added."""
+        if len(self.places) > KEPT or len(self.flat) > KEPT_IDS:
+            self._forget()
+        new = [p for p in pieces if p not in self.places]
+        if new:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.flat)])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), self.kind, sizes.sum())])
+        return np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+
+    def _piece_starts(self, texts: pa.Array, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Where the pieces of the texts start in their joined bytes."""
+        filled = offsets[:-1] < offsets[1:]
+        firsts, lasts = offsets[:-1][filled], offsets[1:][filled] - 1
+        followed = np.zeros(len(data), bool)
+        followed[:-1] = _PLAIN[data[1:]]
+        followed[lasts] = False
+        line = (data == 10) & followed
+        line[1:] &= _PRINTED[data[:-1]]
+        line[firsts] = False
+        begins = ((data == 32) & followed) | line
+        begins[1:] |= line[:-1]
+        whole = np.zeros(len(texts), bool)
+        for token in self.special:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(whole):
+            begins[offsets[k] : offsets[k + 1]] = False
+        begins[firsts] = True
+        return np.flatnonzero(begins)
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls) in a row, and where those of each text end."""
+        offsets, data = _spans(texts)
+        if not len(data):
+            return np.zeros(0, self.kind), np.zeros(len(texts), np.int64)
+        starts = self._piece_starts(texts, offsets, data)
+        held = [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), held).dictionary_encode()
+        known = self._placed(pieces.dictionary.cast(pa.large_string()).to_pylist())
+        places = known[pieces.indices.to_numpy()]
+        sizes = self.sizes[places]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.starts[places] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        return ids, np.append(0, ends)[np.searchsorted(starts, offsets[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        rows = [None if self.special(t) else [(p[0], p[1:]) for p in map(_BLANKS, _LINES(t))] for t in texts]
-        first, later = set(), set()
-        for row in filter(None, rows):
-            for start, rest in row:
-                first.add(start)
-                later.update(rest)
-        head = self._known(self.heads, first, "").__getitem__
-        tail = self._known(self.tails, later, " ").__getitem__
-        return [
-            self.whole([t])[0] if row is None
-            else self.line.join([head(start) + b"".join(map(tail, rest)) for start, rest in row])
-            for t, row in zip(texts, rows, strict=True)
-        ]
+        ids, ends = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -127,6 +170,16 @@ def _opened(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
+    """doc_id and text (null: empty) of rows whose texts have about BLOCK bytes, or of one row."""
+    for batch in batches:
+        ids, texts = batch["doc_id"], pc.fill_null(batch["text"], "")
+        before = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // BLOCK
+        edges = np.flatnonzero(np.diff(before, prepend=-1, append=-1)) if len(before) else np.zeros(0, np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield {"doc_id": ids.slice(a, b - a), "text": texts.slice(a, b - a)}
+
+
 def _written(held, folder: str, end_id: int):
     """Writes the rows of a task, in their order; one manifest row per file."""
 
@@ -144,22 +197,21 @@ def _written(held, folder: str, end_id: int):
             row = {"part": part, "number": number, "name": name, "docs": len(index), "ids": sum(r[3] for r in index)}
             return pa.RecordBatch.from_pylist([row])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                piece = batch.slice(at, 1000)
-                texts = [t or "" for t in piece["text"].to_pylist()]
-                for doc_id, ids in zip(piece["doc_id"].to_pylist(), encoder.encode(texts), strict=True):
-                    if out is None:
-                        name = f"part-{part:06d}-{number:04d}-{uuid.uuid4().hex}"
-                        out, index, offset = files.open_output_stream(f"{path}/{name}.rec"), [], len(MAGIC) + 1
-                        out.write(MAGIC + bytes([size]))
-                    data = framed(ids + end)
-                    out.write(data)
-                    index.append((doc_id or 0, doc_id is not None, offset, len(ids) // size + 1))
-                    offset += len(data)
-                    if offset > FILE_BYTES:
-                        yield closed()
-                        out, number = None, number + 1
+        for block in _blocks(batches):
+            ids, ends = encoder.encode_column(block["text"])
+            begins = [0, *ends[:-1].tolist()]
+            for doc_id, a, b in zip(block["doc_id"].to_pylist(), begins, ends.tolist(), strict=True):
+                if out is None:
+                    name = f"part-{part:06d}-{number:04d}-{uuid.uuid4().hex}"
+                    out, index, offset = files.open_output_stream(f"{path}/{name}.rec"), [], len(MAGIC) + 1
+                    out.write(MAGIC + bytes([size]))
+                data = framed(ids[a:b].tobytes() + end)
+                out.write(data)
+                index.append((doc_id or 0, doc_id is not None, offset, b - a + 1))
+                offset += len(data)
+                if offset > FILE_BYTES:
+                    yield closed()
+                    out, number = None, number + 1
         if out is not None:
             yield closed()
 

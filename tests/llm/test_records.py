@@ -30,8 +30,17 @@ def test_encoder_against_the_tokenizer():
         assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(part)] == [plain(t) for t in part]
 
 
+def test_table_of_pieces_is_emptied_and_filled_again(monkeypatch):
+    monkeypatch.setattr(records, "KEPT", 5)
+    encoder = records.Encoder(open(PATH, encoding="utf-8").read())
+    texts = ["one two three four five six seven", "", "x" * 30000, "é " * 2000 + "漢字 " * 500, "two  three\n four\nfive ", " a"]
+    for _ in range(3):
+        assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == [plain(t) for t in texts]
+
+
 def test_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(records, "FILE_TEXT", 20_000)
+    monkeypatch.setattr(records, "BLOCK", 500)
     table = rows(n=40)
     docs = spark.createDataFrame(table, SCHEMA).repartition(4)
     manifest = records.write_records(docs, str(tmp_path), PATH, 2)
