@@ -23,10 +23,11 @@ record each. An empty table gives an empty manifest and result. Other columns of
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,10 @@ INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("offset", "<u8"), ("n", "
 
 #: Bytes of text for one file, bytes after which a task starts a new one; bytes of text that a worker encodes at a time (or
 #: one text), pieces and ids of pieces that it keeps.
-FILE_TEXT, FILE_BYTES, BLOCK, KEPT, KEPT_IDS = 24 << 20, 128 << 20, 4 << 20, 400_000, 8 << 20
+FILE_TEXT, FILE_BYTES, BLOCK, KEPT, KEPT_IDS = 24 << 20, 128 << 20, 8 << 20, 600_000, 8 << 20
+
+#: Pieces that are encoded in one text.
+JOINED = 100
 
 #: First bytes of characters that are surely not blank (some characters that start with C2, E1, E2 or E3 are), and bytes of
 #: printed ASCII characters.
@@ -51,6 +55,9 @@ _PLAIN, _PRINTED = np.zeros(256, bool), np.zeros(256, bool)
 _PRINTED[0x21:0x7F] = True
 _PLAIN[0x21:0x7F] = _PLAIN[0xC3:0xE1] = _PLAIN[0xE4:0xF5] = True
 
+#: Whether a piece starts with a blank and a character that is surely not blank.
+_LEADS = re.compile("^ [!-~\u00c0-\u0fff\u4000-\U0010ffff]").match
+
 
 def masked(data: bytes) -> int:
     crc = zlib.crc32(data)
@@ -93,6 +100,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(json)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.lengths[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self._forget()
 
     def _forget(self) -> None:
@@ -106,14 +116,33 @@ class Encoder:
             self._forget()
         new = [p for p in pieces if p not in self.places]
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            leading = list(filter(_LEADS, new))
+            new = leading + list(filterfalse(_LEADS, new))
+            sizes, ids = self._encoded(new, len(leading))
             self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.flat)])
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), self.kind, sizes.sum())])
+            self.flat = np.concatenate([self.flat, ids])
         return np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
 
+    def _encoded(self, pieces: list[str], leading: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and the ids. The first pieces, those that lead, are encoded JOINED to a text: the
+        pre-tokenizer cuts where they meet, and the bytes that tokens stand for tell where each ends."""
+        texts = ["".join(pieces[k : min(k + JOINED, leading)]) for k in range(0, leading, JOINED)]
+        if any(token in text for token in self.special for text in texts):
+            return self._encoded(pieces, 0)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts + pieces[leading:], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), self.kind, sizes.sum())
+        if not leading:
+            return sizes, ids
+        within = np.cumsum(self.lengths[ids[: sizes[: len(texts)].sum()]])
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in pieces[:leading]), np.int64, leading))
+        last = np.minimum(np.searchsorted(within, ends), len(within) - 1)
+        if len(within) != last[-1] + 1 or (within[last] != ends).any():
+            return self._encoded(pieces, 0)
+        return np.concatenate([np.diff(last, prepend=-1), sizes[len(texts) :]]), ids
+
     def _piece_starts(self, texts: pa.Array, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         """Where the pieces of the texts start in their joined bytes."""
         filled = offsets[:-1] < offsets[1:]
