@@ -5,6 +5,10 @@ from __future__ import annotations
 from pactscope.llm import urls
 
 
+#: Levels that the SQL tells apart; paths of the given tables have three segments at most.
+LEVELS = 6
+
+
 def _rule(field: str) -> str:
     cases = []
     for verdict, own, path in sorted(urls.RULES, key=lambda r: (-len(r[1]) - len(r[2]), -len(r[1]))):
@@ -22,39 +26,25 @@ def template_sql() -> str:
         """marks AS (SELECT doc_id, max(1 - quality) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id)""",
         r"""at0 AS (SELECT p.*, bad, host AS template FROM parsed p
               LEFT JOIN marks ON doc_id = TRY_CAST(regexp_extract(path, '/([0-9]+)[^/]*/?$', 1) AS BIGINT))""",
-        """base AS (SELECT coalesce(sum(bad) / count(bad), 0.0) AS purity FROM at0)""",
+        r"""shapes AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
+              lambda s: CASE WHEN regexp_full_match(s, '[0-9]+(\.[A-Za-z]+)?') THEN '*' ELSE s END) AS segments, host AS node FROM at0)""",
+        """base AS (SELECT coalesce(sum(bad) / count(bad), 0.0) AS share FROM at0)""",
+        "nodes0 AS (SELECT page_id, host, path, bad, segments, node FROM shapes)",
     ]
-    smoothed = f"(coalesce(sum(bad), 0) + {urls.STRENGTH} * any_value(above)) / (count(bad) + {urls.STRENGTH})"
-    counts = "count(*) AS pages, coalesce(sum(bad), 0) AS n_bad, count(bad) AS labelled"
-    parts.append(f"nodes0 AS (SELECT template, {counts}, {smoothed} AS purity "
-                 "FROM (SELECT at0.*, base.purity AS above FROM at0, base) GROUP BY template)")
-    for k in range(urls.DEPTH):
+    band = " + ".join(f"CAST(sum(bad) >= CAST({e!r} AS DOUBLE) * count(bad) AS INT)" for e in urls.EDGES)
+    for k in range(LEVELS):
         parts += [
-            rf"""seg{k} AS (SELECT page_id, host, path, bad, template,
-                   CASE WHEN regexp_full_match(value, '[0-9]+(\.[A-Za-z]+)?') THEN '*' ELSE value END AS segment
-                 FROM (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '')[{k + 1}] AS value FROM at{k}))""",
-            f"val{k} AS (SELECT template, segment, {counts} FROM seg{k} WHERE segment IS NOT NULL GROUP BY ALL)",
-            f"""new{k} AS (SELECT *, coalesce(CAST(n_bad / labelled - last_bad / last >
-                     {urls.Z} * sqrt((n_bad + last_bad) / (labelled + last) * (1 - (n_bad + last_bad) / (labelled + last))
-                       * (1 / labelled + 1 / last)) AS INT), 0) AS new
-                 FROM (SELECT v.*, lag(v.n_bad) OVER w AS last_bad, lag(v.labelled) OVER w AS last
-                   FROM val{k} v JOIN nodes{k} n USING (template)
-                   WHERE segment <> '*' AND v.labelled > 0 AND v.pages >= greatest({urls.SUPPORT}, {urls.SHARE} * n.pages)
-                   WINDOW w AS (PARTITION BY v.template ORDER BY v.n_bad / v.labelled, v.segment)))""",
-            f"""class{k} AS (SELECT template, segment, sum(new) OVER (PARTITION BY template ORDER BY n_bad / labelled, segment) AS class
-                 FROM new{k})""",
-            f"""own{k} AS (SELECT c.template, c.segment, string_agg(d.segment, '|' ORDER BY d.segment) AS name
-                 FROM class{k} c JOIN class{k} d ON c.template = d.template AND c.class = d.class
-                 WHERE c.template IN (SELECT template FROM class{k} WHERE class > 0) GROUP BY ALL)""",
-            f"""kid{k} AS (SELECT s.*, CASE WHEN s.segment IS NOT NULL THEN s.template || '/' || coalesce(o.name, '*') END AS child
-                 FROM seg{k} s LEFT JOIN own{k} o ON s.template = o.template AND s.segment = o.segment)""",
-            f"""nodes{k + 1} AS (SELECT child AS template, {counts}, {smoothed} AS purity
-                 FROM (SELECT kid{k}.*, n.purity AS above FROM kid{k} JOIN nodes{k} n USING (template) WHERE child IS NOT NULL)
-                 GROUP BY child)""",
-            f"at{k + 1} AS (SELECT page_id, host, path, bad, coalesce(child, template) AS template FROM kid{k})",
+            f"""value{k} AS (SELECT node, segments[{k + 1}] AS value, count(bad) AS labelled, {band} AS band FROM nodes{k}
+                  WHERE segments[{k + 1}] <> '*' GROUP BY ALL HAVING count(bad) >= {urls.SUPPORT})""",
+            f"""class{k} AS (SELECT node, band FROM value{k} JOIN (SELECT node, count(bad) AS total FROM nodes{k} GROUP BY node) USING (node)
+                  GROUP BY node, band, total HAVING sum(labelled) < total)""",
+            f"""nodes{k + 1} AS (SELECT page_id, host, path, bad, segments, CASE WHEN node IN (SELECT node FROM class{k})
+                    THEN node || '/' || coalesce(CAST(c.band AS VARCHAR), '*') ELSE node END AS node
+                  FROM nodes{k} n LEFT JOIN (SELECT node AS at, value, band FROM value{k} v JOIN class{k} c USING (node, band)) c
+                    ON n.node = c.at AND n.segments[{k + 1}] = c.value)""",
         ]
-    every = " UNION ".join(f"SELECT template, purity FROM nodes{k}" for k in range(urls.DEPTH + 1))
-    return f"""WITH {", ".join(parts)}, every AS ({every})
+    purity = f"(coalesce(sum(bad), 0) + CAST({urls.STRENGTH} AS DOUBLE) * any_value(share)) / (count(bad) + {urls.STRENGTH})"
+    return f"""WITH {", ".join(parts)}, judged AS (SELECT node, {purity} AS purity FROM nodes{LEVELS}, base GROUP BY node)
         SELECT page_id, host, path, {_rule("rule")} AS rule,
                coalesce({_rule("verdict")}, CASE WHEN purity >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict
-        FROM at{urls.DEPTH} LEFT JOIN every USING (template)"""
+        FROM nodes{LEVELS} JOIN judged USING (node)"""

@@ -1,17 +1,20 @@
 """URL filters: prefix rules, and a path-template tree learned from labelled pages. DataFrame operations only.
 
-Template tree: each host is a root, each path segment a level, down to DEPTH levels.
-1. Variable segments become wildcards: below a node, a segment value stays a branch of its own only if it holds at least
-   SHARE of the node's pages and at least SUPPORT pages; numbers, and everything rarer, go to the wildcard.
-2. Similar branches merge: a node's branches (1 / SHARE at most) are ordered by their share of bad labels, and a new class
-   begins where the share differs from that of the branch before by more than Z standard errors. Branches of one class are
-   one template; if a single class is left, or nothing is labelled, they join the wildcard.
-3. Templates are rejected by purity: (bad + STRENGTH * purity of the node above) / (labelled + STRENGTH), starting from the
-   share of bad labels over all hosts. A page is blocked if its deepest template has a purity of at least REJECT.
-
-At every level pages are counted per host, node and segment with map-side combine, so a host that holds a third of all
-pages costs one row per task and branch; branch tables hold at most 1 / SHARE rows per node. Joins back to the pages are by
-node, with a skewed side that Spark can split.
+Template tree: each host is a root, each path segment a level, as deep as labelled paths go.
+1. Pages are counted by shape: host and segments, with numbers as wildcards. All further work is on shapes.
+2. Variable segments become wildcards: below a node, a segment value may be a branch only if SUPPORT labelled pages or more
+   have it, whatever else the node holds; everything rarer goes to the wildcard.
+3. Similar branches merge: those of a node whose shares of bad labels lie in one band are one template. Bands are equally
+   wide on the arcsine scale, where the error of a share depends on the number of labels alone: Z standard errors of a branch
+   with SUPPORT labels, with an edge at REJECT. So a chain of small steps doesn't merge good with bad, and what becomes of a
+   branch doesn't depend on its neighbours. A template that would hold all labelled pages of its node is not parted off.
+4. Templates are rejected by purity: (bad + STRENGTH * share of bad labels over all hosts) / (labelled + STRENGTH). A page is
+   blocked if its template has a purity of at least REJECT.
+
+Levels at which the labelled shapes of no node differ are passed over, so the number of rounds is that of levels that part
+pages, not that of segments. Pages are counted with map-side combine, so a host that holds a third of all pages costs one row
+per task and shape; a class of branches is named by its first and last member, never gathered. Pages meet the verdict of their
+shape in one join, with a skewed side that Spark can split.
 
 Edge cases: a null URL or one without :// has an empty host and path, fits no rule and belongs to the template of the empty
 host. Null labels don't count. Repeated rows count each and get the same verdict. An empty table gives an empty result.
@@ -20,12 +23,24 @@ Other columns of the input are not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactscope.llm.common import cut
 
-DEPTH, SHARE, SUPPORT, Z, STRENGTH, REJECT = 4, 0.02, 20, 3.0, 20.0, 0.5
+SUPPORT, Z, STRENGTH, REJECT = 20, 3.0, 20.0, 0.5
+
+
+def _edges() -> list[float]:
+    """Shares of bad labels where a band begins, one of them REJECT."""
+    width, middle = Z / (2 * math.sqrt(SUPPORT)), math.asin(math.sqrt(REJECT))
+    steps = range(-math.ceil(middle / width) + 1, math.ceil((math.pi / 2 - middle) / width))
+    return [math.sin(middle + k * width) ** 2 if k else REJECT for k in steps]
+
+
+EDGES = _edges()
 
 #: (verdict, host, path): a rule fits its host and all subdomains, where the path starts with its own.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -54,54 +69,68 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return found
 
 
-def _segment(level: int) -> Column:
-    """The segment of that level; numbers (with an extension or not) are variable from the start; null below the end."""
-    value = F.get(F.filter(F.split("path", "/"), lambda s: s != ""), F.lit(level))
-    return F.when(value.rlike(r"^[0-9]+(\.[A-Za-z]+)?$"), F.lit("*")).otherwise(value)
+def segments(path: Column) -> Column:
+    """The segments of a path; numbers (with an extension or not) are wildcards."""
+    parts = F.filter(F.split(path, "/"), lambda s: s != "")
+    return F.transform(parts, lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]+)?$"), F.lit("*")).otherwise(s))
+
+
+def _next_level(shapes: DataFrame, level: int) -> int | None:
+    """The first level from this one on where labelled shapes of one node differ, if SUPPORT labelled pages get there."""
+    rest = F.slice("segments", level + 1, (1 << 31) - 1)
+    deep = shapes.filter((F.col("labelled") > 0) & (F.size("segments") > level)).withColumn("rest", rest)
+    ends = deep.groupBy("node").agg(F.sum("labelled").alias("labelled"), F.min("rest").alias("low"), F.max("rest").alias("high"),
+                                    F.min(F.size("rest")).alias("least"))
+    same = F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b))
+    ends = ends.filter(f"labelled >= {SUPPORT}").select(F.array_position(same, False).alias("at"))
+    found = ends.filter("at > 0").agg(F.min("at")).first()[0]
+    return None if found is None else level + int(found) - 1
+
+
+def _parted(shapes: DataFrame, level: int) -> DataFrame:
+    """shapes with the nodes that they belong to once that level is told apart."""
+    totals = shapes.groupBy("node").agg(F.sum("labelled").alias("all_labelled"))
+    value = F.get("segments", F.lit(level))
+    values = shapes.filter((F.col("labelled") > 0) & (value != "*")).groupBy("node", value.alias("value"))
+    values = values.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).filter(f"labelled >= {SUPPORT}")
+    band = sum(((F.col("bad") >= F.lit(e) * F.col("labelled")).cast("int") for e in EDGES), F.lit(0))
+    values = cut(values.withColumn("band", band))
+    classes = values.groupBy("node", "band").agg(
+        F.sum("labelled").alias("labelled"), F.count(F.lit(1)).alias("n"), F.min("value").alias("first"), F.max("value").alias("last")
+    )
+    name = F.when(F.col("n") == 1, F.col("first")).otherwise(F.concat("first", F.when(F.col("n") == 2, "|").otherwise("|..|"), "last"))
+    classes = classes.join(totals, "node").filter("labelled < all_labelled").select("node", "band", name.alias("name"))
+    branches = cut(values.select("node", "band", "value").join(classes, ["node", "band"]))
+    parted = branches.select("node").distinct().withColumn("parts", F.lit(True))
+    found = shapes.withColumn("value", value).join(branches, ["node", "value"], "left").join(parted, "node", "left")
+    grown = [
+        F.when(F.col("parts"), F.concat(c, F.lit("/"), F.coalesce(F.col(branch).cast("string"), F.lit("*")))).otherwise(F.col(c)).alias(c)
+        for c, branch in (("node", "band"), ("template", "name"))
+    ]
+    return cut(found.select("shape", "segments", "labelled", "bad", *grown))
 
 
 def template_purity(pages: DataFrame) -> DataFrame:
-    """pages (host, path, bad: 1, 0 or null) with template (host and branches) and purity of the deepest template."""
-    at = pages.withColumn("template", F.col("host"))
-    totals = at.agg(F.sum("bad").alias("bad"), F.count("bad").alias("labelled")).select(
-        F.when(F.col("labelled") > 0, F.col("bad") / F.col("labelled")).otherwise(F.lit(0.0)).alias("purity")
-    ).first()
-    base = float(totals[0] or 0.0)
-    smoothed = (F.coalesce(F.col("n_bad"), F.lit(0)) + STRENGTH * F.col("above")) / (F.col("labelled") + STRENGTH)
-    counts = [F.count(F.lit(1)).alias("pages"), F.sum("bad").alias("n_bad"), F.count("bad").alias("labelled")]
-
-    hosts = at.groupBy("template").agg(*counts).withColumn("above", F.lit(base))
-    nodes = cut(hosts.select("template", "pages", F.coalesce("n_bad", F.lit(0)).alias("n_bad"), "labelled", smoothed.alias("purity")))
-    every = nodes.select("template", "purity")
-    for level in range(DEPTH):
-        at = at.withColumn("segment", _segment(level))
-        values = at.filter("segment is not null").groupBy("template", "segment").agg(*counts)
-        values = values.withColumn("n_bad", F.coalesce("n_bad", F.lit(0)))
-        frequent = values.join(nodes.select("template", F.col("pages").alias("all_pages")), "template").filter(
-            (F.col("segment") != "*") & (F.col("labelled") > 0)
-            & (F.col("pages") >= F.greatest(F.lit(SUPPORT), SHARE * F.col("all_pages")))
-        )
-        rate = F.col("n_bad") / F.col("labelled")
-        order = Window.partitionBy("template").orderBy(rate, "segment")
-        last_bad, last = F.lag("n_bad").over(order), F.lag("labelled").over(order)
-        pooled = (F.col("n_bad") + last_bad) / (F.col("labelled") + last)
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / last))
-        new = frequent.withColumn("new", F.coalesce((rate - last_bad / last > Z * error).cast("int"), F.lit(0)))
-        classed = new.withColumn("class", F.sum("new").over(order))
-        node, same = Window.partitionBy("template"), Window.partitionBy("template", "class")
-        name = F.array_join(F.array_sort(F.collect_list("segment").over(same)), "|")
-        branches = classed.withColumn("name", name).withColumn("classes", F.max("class").over(node))
-        branches = cut(branches.filter("classes > 0").select("template", "segment", "name"))
-        child = F.concat("template", F.lit("/"), F.coalesce("name", F.lit("*")))
-        at = at.join(branches, ["template", "segment"], "left")
-        at = at.withColumn("child", F.when(F.col("segment").isNotNull(), child)).drop("name", "segment")
-        grown = at.filter("child is not null").groupBy("template", "child").agg(*counts)
-        grown = grown.join(nodes.select("template", F.col("purity").alias("above")), "template")
-        nodes = cut(grown.select(F.col("child").alias("template"), "pages", F.coalesce("n_bad", F.lit(0)).alias("n_bad"),
-                                 "labelled", smoothed.alias("purity")))
-        every = every.unionByName(nodes.select("template", "purity"))
-        at = at.withColumn("template", F.coalesce("child", "template")).drop("child")
-    return at.join(every.distinct(), "template", "left")
+    """pages (host, path, bad: 1, 0 or null) with template (host, branches and wildcards) and its purity."""
+    parts = segments(F.col("path"))
+    shaped = pages.withColumn("shape", F.concat("host", F.lit("/"), F.array_join(parts, "/")))
+    shapes = shaped.groupBy("shape").agg(
+        F.first(parts).alias("segments"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
+        F.first("host").alias("node"),
+    )
+    shapes = cut(shapes.withColumn("template", F.col("node")))
+    level = _next_level(shapes, 0)
+    while level is not None:
+        shapes = _parted(shapes, level)
+        level = _next_level(shapes, level + 1)
+    bad, labelled = shapes.agg(F.sum("bad"), F.sum("labelled")).first()
+    base = bad / labelled if labelled else 0.0
+    purity = (F.sum("bad") + F.lit(STRENGTH * base)) / (F.sum("labelled") + STRENGTH)
+    nodes = shapes.groupBy("node").agg(purity.alias("purity"))
+    below = F.size("segments") - F.size(F.split("template", "/")) + 1
+    template = F.concat("template", F.expr("repeat('/*', below)"))
+    named = shapes.withColumn("below", below).join(nodes, "node").select("shape", template.alias("template"), "purity")
+    return shaped.join(cut(named), "shape", "left").drop("shape")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
