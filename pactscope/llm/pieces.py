@@ -1,28 +1,51 @@
 """SentencePiece encoding and decoding as relational operations over a lattice.
 
 Texts are normalised as the model says (a blank in front, blanks written as U+2581) and parted before each run of blanks; no
-piece of the model crosses such a place, so the best path of a text is the best paths of its words in a row. Each different
-word of the corpus is solved once: its substrings of bounded length are exploded and equi-joined to the piece table, which
-gives the edges of the lattice; characters without a piece get an edge of the unknown score. Edges are grouped by end and by
-word, and two higher-order aggregates fold the best scores forward and the best path back (largest sum of scores; ties go to
-the longer last piece). Unknown characters become their byte pieces.
-
-Words are combined before they are solved, so a very common word costs one row per task; joining paths back to every
-occurrence of a word has a skewed side. The piece table is of fixed size: broadcast to encode, one array to decode. The lattice of a word is one row: a text without
-any blank is one word, whose edges grow with its length times the longest piece.
-
-Edge cases: null and empty texts have no pieces and decode to the empty text. Repeated rows are encoded each. An empty table
-gives an empty result. Key columns are passed on as they are, nulls and all; other columns are not looked at.
+piece of the model crosses such a place, so the best path of a text is the best paths of its words in a row. Words are cut
+into blocks of BLOCK characters; substrings of bounded length that end in a block are exploded and equi-joined to the piece
+table, which gives the edges of the lattice; characters without a piece get an edge of the unknown score. Edges are grouped
+by end and by block, and two higher-order aggregates fold the best scores forward and the best path back (largest sum of
+scores; ties go to the longer last piece). A block starts from as many scores of the one before as the longest piece has
+characters, so the folds grow linearly with a word. Unknown characters become their byte pieces.
+
+Words are counted (combined before the shuffle). The paths of the most frequent ones, FREQUENT at most, each of SHORT
+characters at most, are solved once and broadcast: a proven bound. All other words are solved by the same lattice beside
+their text: its known ids and its other words are shuffled once by row, and no edge is shuffled. The piece table is of fixed
+size: broadcast to encode, one array to decode. The lattice of a word is one row, about 200 bytes per character.
+
+Edge cases: null and empty texts have no pieces and decode to the empty text. U+2581 in a text decodes to a blank. Repeated
+rows are encoded each. An empty table gives an empty result. Key columns are passed on as they are, nulls and all; other
+columns are not looked at.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pactscope.llm.common import shared_folder
 
 #: Fixed value: what an unknown character scores below the worst piece.
 UNKNOWN = 10.0
 MARK = "▁"
+#: Characters of a word that are folded together.
+BLOCK = 256
+#: Words whose paths are broadcast, and their longest length in characters.
+FREQUENT = 1 << 19
+SHORT = 32
+#: Words of the texts to a partition of the shuffle by row, and the most partitions asked for.
+TASK_WORDS = 2_000_000
+MOST_PARTITIONS = 100_000
+#: In place of a word that isn't known yet; ids of pieces are smaller.
+HOLE = (1 << 32) - 1
 
 
 def piece_table(spark: SparkSession, model: str) -> DataFrame:
@@ -48,71 +71,172 @@ def words_of(text: Column) -> Column:
     )
 
 
-def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """From different words: word, steps [(end, [(begin, score, id)])] in order of end; id -1 is an unknown character."""
+def blocks_of(words: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """Keys, block, skip, text: the words in blocks, each after the last characters of the one before (skip of them)."""
+    cuts = F.regexp_extract_all("word", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    before = lambda i: F.substring(F.element_at("cuts", i), 1 - longest, longest - 1) if longest > 1 else F.lit("")
+    cut = F.transform("cuts", lambda c, i: F.struct(
+        i.alias("block"), F.when(i == 0, 0).otherwise(longest - 1).alias("skip"),
+        F.when(i == 0, c).otherwise(F.concat(before(F.greatest(i, F.lit(1))), c)).alias("text"),
+    ))
+    return words.withColumn("cuts", cuts).select(*keys, F.inline(cut))
+
+
+def lattice(words: DataFrame, keys: list[str], pieces: DataFrame) -> DataFrame:
+    """Keys, blocks [(block, steps [(end, [(n, score, id)])])]: edges of n characters, by their end in their block.
+
+    words holds the keys and word, not empty; the id of an unknown character is -1 less its code point. Nothing is shuffled
+    where words are partitioned by some of the keys.
+    """
     normal = pieces.filter("byte is null")
     longest, worst = normal.agg(F.max(F.length("piece")), F.min("score")).first()
-    size = F.length("word")
-    begins = words.select("word", F.explode(F.sequence(F.lit(0), size - 1)).alias("begin"))
-    spans = begins.select("word", "begin", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("begin")))).alias("n"))
-    spans = spans.withColumn("piece", F.substring(F.col("word"), F.col("begin") + 1, F.col("n")))
+    parts = blocks_of(words, keys, longest)
+    held = [*keys, "block"]
+    ends = parts.select(*held, "skip", "text", F.explode(F.sequence(F.col("skip") + 1, F.length("text"))).alias("at"))
+    spans = ends.select(*held, "skip", "text", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), "at"))).alias("n"))
+    piece = F.substring(F.col("text"), F.col("at") - F.col("n") + 1, F.col("n"))
+    spans = spans.select(*held, (F.col("at") - F.col("skip")).alias("end"), "n", piece.alias("piece"))
     edges = spans.join(F.broadcast(normal), "piece", "left").filter("id is not null or n = 1")
-    edge = F.struct("begin", F.coalesce("score", F.lit(worst - UNKNOWN)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    steps = edges.groupBy("word", (F.col("begin") + F.col("n")).alias("end")).agg(F.collect_list(edge).alias("edges"))
-    return steps.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("end", "edges"))).alias("steps"))
+    edge = F.struct("n", F.coalesce("score", F.lit(worst - UNKNOWN)).alias("score"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
+    steps = edges.groupBy(*held, "end").agg(F.collect_list(edge).alias("edges"))
+    blocks = steps.groupBy(*held).agg(F.array_sort(F.collect_list(F.struct("end", "edges"))).alias("steps"))
+    return blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "steps"))).alias("blocks"))
+
+
+def _octets(code: Column) -> Column:
+    """The UTF-8 bytes of a code point."""
+    tail = lambda bits: F.lit(128) + F.shiftright(code, bits).bitwiseAND(63)
+    return (
+        F.when(code < 0x80, F.array(code))
+        .when(code < 0x800, F.array(192 + F.shiftright(code, 6), tail(0)))
+        .when(code < 0x10000, F.array(224 + F.shiftright(code, 12), tail(6), tail(0)))
+        .otherwise(F.array(240 + F.shiftright(code, 18), tail(12), tail(6), tail(0)))
+    )
 
 
-def best_paths(lattices: DataFrame, pieces: DataFrame) -> DataFrame:
-    """word, ids: the pieces of the best path, unknown characters as bytes."""
+def best_paths(lattices: DataFrame, keys: list[str], pieces: DataFrame) -> DataFrame:
+    """Keys, ids: the pieces of the best path, unknown characters as bytes."""
     first_byte = pieces.filter("byte = 0").first().id
-    start = F.struct(F.array(F.lit(0.0)).alias("scores"), F.expr("cast(array() as array<struct<begin:int,id:int>>)").alias("last"))
+    longest = pieces.filter("byte is null").agg(F.max(F.length("piece"))).first()[0]
+    place = lambda score: F.struct(F.lit(score).alias("score"), F.lit(0).alias("n"), F.lit(0).alias("id"))
+    start = F.concat(F.array_repeat(place(float("-inf")), longest - 1), F.array(place(0.0)))
 
-    def forward(state: Column, step: Column) -> Column:
+    def forward(trail: Column, step: Column) -> Column:
         best = F.array_max(F.transform(step["edges"], lambda e: F.struct(
-            (F.element_at(state["scores"], e["begin"] + 1) + e["score"]).alias("score"), (-e["begin"]).alias("longer"), e["id"].alias("id")
+            (F.element_at(trail, -e["n"])["score"] + e["score"]).alias("score"), e["n"].alias("n"), e["id"].alias("id")
         )))
-        return F.struct(
-            F.concat(state["scores"], F.array(best["score"])).alias("scores"),
-            F.concat(state["last"], F.array(F.struct((-best["longer"]).alias("begin"), best["id"].alias("id")))).alias("last"),
-        )
+        return F.concat(trail, F.array(best))
 
-    folded = lattices.select("word", F.aggregate("steps", start, forward, lambda s: s["last"]).alias("last"))
-    size = F.size("last")
-    nothing = F.struct(size.alias("at"), F.expr("cast(array() as array<struct<begin:int,id:int>>)").alias("path"))
+    def next_block(trails: Column, block: Column) -> Column:
+        held = F.slice(F.element_at(trails, -1), -longest, longest)
+        return F.concat(trails, F.array(F.aggregate(block["steps"], held, forward)))
 
-    def back(state: Column, end: Column) -> Column:
-        edge = F.element_at("last", end)
-        return F.when(state["at"] == end, F.struct(edge["begin"].alias("at"), F.concat(F.array(edge), state["path"]).alias("path"))).otherwise(state)
+    folded = lattices.select(*keys, F.aggregate("blocks", F.array(start), next_block).alias("trails"))
 
-    path = F.aggregate(F.sequence(size, F.lit(1), F.lit(-1)), nothing, back, lambda s: s["path"])
+    def back(state: Column, edge: Column) -> Column:
+        return F.when(state["skip"] > 0, F.struct((state["skip"] - 1).alias("skip"), state["path"].alias("path"))).otherwise(
+            F.struct((edge["n"] - 1).alias("skip"), F.concat(state["path"], F.array(edge["id"])).alias("path"))
+        )
 
-    def ids(edge: Column) -> Column:
-        digits = F.hex(F.encode(F.substring(F.col("word"), edge["begin"] + 1, F.lit(1)), "utf-8"))
-        places = F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1)
-        octets = F.transform(places, lambda k: F.conv(F.substring(digits, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + first_byte)
-        return F.when(edge["id"] >= 0, F.array(edge["id"])).otherwise(octets)
+    def block_before(state: Column, trail: Column) -> Column:
+        own = F.reverse(F.slice(trail, F.lit(longest + 1), F.size(trail)))
+        nothing = F.struct(state["skip"].alias("skip"), F.expr("cast(array() as array<int>)").alias("path"))
+        return F.aggregate(own, nothing, back, lambda s: F.struct(
+            s["skip"].alias("skip"), F.concat(state["paths"], F.array(s["path"])).alias("paths")
+        ))
 
-    return folded.select("word", F.flatten(F.transform(path, ids)).alias("ids"))
+    none = F.struct(F.lit(0).alias("skip"), F.expr("cast(array() as array<array<int>>)").alias("paths"))
+    path = F.aggregate(F.reverse("trails"), none, block_before, lambda s: F.reverse(F.flatten(s["paths"])))
+    ids = lambda i: F.when(i >= 0, F.array(i)).otherwise(F.transform(_octets(-1 - i), lambda o: o + first_byte))
+    return folded.select(*keys, F.flatten(F.transform(path, ids)).alias("ids"))
 
 
-def encode(texts: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
+def frequent_paths(words: DataFrame, pieces: DataFrame, most: int) -> tuple[pa.Table, int]:
+    """word, ids of the most frequent short words, `most` of them at most, and the number of all words.
+
+    Frequencies are parted on a scale of eighths of powers of two; a part that doesn't fit as a whole stays out.
+    """
+    spark = words.sparkSession
+    total, file = Observation(), f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).observe(total, F.sum("n").alias("words"))
+    level = F.floor(8 * F.log2("n")).cast("int")
+    counted.filter((F.col("n") > 1) & (F.length("word") <= SHORT)).select("word", level.alias("level")).write.parquet(file)
+    counted, held, least = spark.read.schema("word string, level int").parquet(file), 0, 1 << 30
+    for row in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
+        held += row["count"]
+        if held > most:
+            break
+        least = row["level"]
+    chosen = counted.filter(F.col("level") >= least).select("word").repartition("word")
+    return best_paths(lattice(chosen, ["word"], pieces), ["word"], pieces).toArrow(), total.get["words"] or 0
+
+
+def _looked_up(known: Broadcast) -> Callable:
+    """row, held, words -> row, held, packed (ids as 32-bit numbers, HOLE for a word that isn't known), missing (those words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, sizes, ids = known.value
+        words = pa.array(words, pa.string())
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids, pa.uint32()))
+        for batch in batches:
+            lists = batch.column("words")
+            bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat = lists.flatten()
+            at = pc.index_in(flat, value_set=words)
+            gone = at.is_null()
+            places = pc.fill_null(at, len(words))
+            ends = np.concatenate(([0], np.cumsum(sizes[places.to_numpy()], dtype=np.int64)))
+            values = ids.take(places).flatten().to_numpy()
+            packed = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(4 * ends[bounds]), pa.py_buffer(values)])
+            holes = np.concatenate(([0], np.cumsum(gone.to_numpy(zero_copy_only=False)))).astype(np.int32)
+            missing = pa.ListArray.from_arrays(pa.array(holes[bounds]), flat.filter(gone))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("held"), packed.cast(pa.binary()), missing], ["row", "held", "packed", "missing"]
+            )
+
+    return run
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """held, packed, found (paths of the words missing, in order; null if none are) -> held, ids."""
+    for batch in batches:
+        packed = batch.column("packed").cast(pa.large_binary())
+        bounds = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(batch) + 1] // 4
+        values = np.frombuffer(packed.buffers()[2] or b"", np.uint32)[bounds[0] : bounds[-1]]
+        holes, found = values == HOLE, batch.column("found").flatten()
+        sizes = np.ones(len(values), np.int64)
+        sizes[holes] = pc.list_value_length(found).to_numpy()
+        ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        ids = np.repeat(values, sizes)
+        ids[np.repeat(holes, sizes)] = found.flatten().to_numpy()
+        lists = pa.ListArray.from_arrays(pa.array(ends[bounds - bounds[0]]), pa.array(ids.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column("held"), lists], ["held", "ids"])
+
+
+def encode(texts: DataFrame, pieces: DataFrame, keys: list[str], frequent: int = FREQUENT) -> DataFrame:
     """One row per row of texts: its keys and ids, the piece ids of its whole text.
 
-    Keys travel with the first word of a row only; a row without words has one null word. texts must give its rows in the
-    same order if a task is run again, as files do.
+    texts must give its rows in the same order if a task is run again, as files do. frequent: the most words whose paths are
+    broadcast; results don't depend on it.
     """
+    spark = texts.sparkSession
     names = [f"key{i}" for i in range(len(keys))]
     held = F.struct(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
     rows = texts.select(held.alias("held"), words_of(F.col("text")).alias("words"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    placed = rows.select("row", "held", F.posexplode_outer("words").alias("pos", "word"))
-    placed = placed.select("row", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("held")).alias("held"), "pos", "word")
-    words = texts.select(F.explode(words_of(F.col("text"))).alias("word")).distinct()
-    solved = best_paths(lattice(words, pieces), pieces)
-    found = placed.join(solved, "word", "left").select("row", "held", F.struct("pos", "ids").alias("part"))
-    lists = found.groupBy("row").agg(F.first("held", ignorenulls=True).alias("held"), F.array_sort(F.collect_list("part")).alias("parts"))
-    whole = F.flatten(F.transform("parts", lambda p: F.coalesce(p["ids"], F.array().cast("array<int>"))))
-    return lists.select("held.*", whole.alias("ids")).toDF(*keys, "ids")
+    table, total = frequent_paths(rows.select(F.explode("words").alias("word")), pieces, frequent)
+    paths = table["ids"].combine_chunks()
+    sizes = np.append(pc.list_value_length(paths).to_numpy(), 1).astype(np.int64)
+    known = spark.sparkContext.broadcast((table["word"].to_pylist(), sizes, np.append(paths.flatten().to_numpy(), HOLE).astype(np.uint32)))
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "held", "words")
+    kept = T.StructType([*rows.select("row", "held").schema, *T.StructType.fromDDL("packed binary, missing array<string>")])
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, total // TASK_WORDS))
+    looked = rows.mapInArrow(_looked_up(known), kept).repartition(parts, "row")
+    missing = looked.select("row", F.posexplode("missing").alias("slot", "word"))
+    solved = best_paths(lattice(missing, ["row", "slot"], pieces), ["row", "slot"], pieces)
+    found = solved.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "ids"))), lambda p: p["ids"]).alias("found"))
+    whole = looked.join(found.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left").select("held", "packed", "found")
+    out = T.StructType([rows.schema["held"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return whole.mapInArrow(_filled, out).select("held.*", "ids").toDF(*keys, "ids")
 
 
 def decode(encoded: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:

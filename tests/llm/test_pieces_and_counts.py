@@ -1,6 +1,7 @@
 """SentencePiece by lattice against a plain Viterbi; rollups against plain sums."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -41,7 +42,7 @@ def test_encode_and_decode(spark):
     r = random.Random(3)
     atoms = ["the", "ing", " ", "  ", "\n", "x", "É", "漢", "😀", "Zürich", "2024", ",", "▁", "\x00", "tion", " of", "\t"]
     texts = [None, "", " ", "   ", "a", "hello world"] + ["".join(r.choice(atoms) for _ in range(r.randint(1, 12))) for _ in range(150)]
-    texts.append("ab" * 300)
+    texts += ["ab" * 300, "漢字x" * 400, "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/漢é😀") for _ in range(3_000))]
     rows = [(i if i else None, t, "x") for i, t in enumerate(texts)]
     table = pieces.piece_table(spark, PATH)
     df = spark.createDataFrame([*rows, rows[5]], "k long, text string, word string").repartition(3)
@@ -51,11 +52,27 @@ def test_encode_and_decode(spark):
     assert encoded.count() == len(rows) + 1
     for k, text, _ in rows:
         assert got[k] == (viterbi(model, text) if text else []), repr(text)
+    for frequent in (0, 5):
+        assert {x.k: x.ids for x in pieces.encode(df, table, ["k"], frequent).collect()} == got
     for x in pieces.decode(encoded, table, ["k"]).collect():
         assert x.text == (texts[x.k or 0] or "").replace("▁", " ")
     assert pieces.encode(df.limit(0), table, ["k"]).collect() == []
 
 
+def test_long_text_without_blanks(spark):
+    """Some ten thousand characters in one word, known and unknown ones: as the plain Viterbi, in linear time."""
+    r = random.Random(5)
+    model, table = sentencepiece.SentencePieceProcessor(model_file=PATH), pieces.piece_table(spark, PATH)
+    text = "".join(r.choice("ABCDEFabcdefghijklmnopqrstuvwxyz0123456789+/漢é") for _ in range(60_000))
+    got, seconds = {}, {}
+    for n in (30_000, 60_000):
+        df, before = spark.createDataFrame([(1, text[:n])], "k long, text string"), time.time()
+        got[n] = pieces.encode(df, table, ["k"]).first().ids
+        seconds[n] = time.time() - before
+    assert seconds[60_000] < 2.5 * seconds[30_000] + 2
+    assert got[30_000] == viterbi(model, text[:30_000])
+
+
 def test_query_encodes_documents(spark):
     """op10 gives one row per document; ids of short ones are those of the plain Viterbi."""
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
