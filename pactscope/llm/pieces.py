@@ -4,14 +4,15 @@ Texts are normalised as the model says (a blank in front, blanks written as U+25
 piece of the model crosses such a place, so the best path of a text is the best paths of its words in a row. Words are cut
 into blocks of BLOCK characters; substrings of bounded length that end in a block are exploded and equi-joined to the piece
 table, which gives the edges of the lattice; characters without a piece get an edge of the unknown score. Edges are grouped
-by end and by block, and two higher-order aggregates fold the best scores forward and the best path back (largest sum of
-scores; ties go to the longer last piece). A block starts from as many scores of the one before as the longest piece has
-characters, so the folds grow linearly with a word. Unknown characters become their byte pieces.
+by word in order of their ends, and two higher-order aggregates fold the best scores forward and the best path back (largest
+sum of scores; ties go to the longer last piece). They take EDGES edges at a time and start from as many places of the ones
+before as the longest piece has characters, so they grow linearly with a word. Unknown characters become their byte pieces.
 
-Words are counted (combined before the shuffle). The paths of the most frequent ones, FREQUENT at most, each of SHORT
+Words that repeat are counted. The paths of the most frequent ones, FREQUENT at most, each of SHORT
 characters at most, are solved once and broadcast: a proven bound. All other words are solved by the same lattice beside
 their text: its known ids and its other words are shuffled once by row, and no edge is shuffled. The piece table is of fixed
-size: broadcast to encode, one array to decode. The lattice of a word is one row, about 200 bytes per character.
+size: broadcast to encode, one array to decode. The lattice of a word is one row, eight bytes an edge; folding it
+takes some hundred bytes a character.
 
 Edge cases: null and empty texts have no pieces and decode to the empty text. U+2581 in a text decodes to a blank. Repeated
 rows are encoded each. An empty table gives an empty result. Key columns are passed on as they are, nulls and all; other
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,16 +37,19 @@ from pactscope.llm.common import shared_folder
 #: Fixed value: what an unknown character scores below the worst piece.
 UNKNOWN = 10.0
 MARK = "▁"
-#: Characters of a word that are folded together.
+#: Characters of a word that are exploded together, edges that are folded together.
 BLOCK = 256
+EDGES = 512
+#: Ids of pieces are smaller; unknown characters are numbered from here on by their code points.
+UNSEEN = 1 << 22
 #: Words whose paths are broadcast, and their longest length in characters.
 FREQUENT = 1 << 19
 SHORT = 32
 #: Words of the texts to a partition of the shuffle by row, and the most partitions asked for.
-TASK_WORDS = 2_000_000
+TASK_WORDS = 500_000
 MOST_PARTITIONS = 100_000
-#: In place of a word that isn't known yet; ids of pieces are smaller.
-HOLE = (1 << 32) - 1
+#: Words to a partition when the frequent ones are solved.
+TASK_PATHS = 25_000
 
 
 def piece_table(spark: SparkSession, model: str) -> DataFrame:
@@ -65,42 +69,46 @@ def piece_table(spark: SparkSession, model: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """The normalised text in parts, each a run of blanks and what follows it; null and empty texts have none."""
-    marked = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
+    marked = F.replace(F.concat(F.lit(" "), text), F.lit(" "), F.lit(MARK))
+    parted = F.replace(F.replace(marked, F.lit(MARK), F.lit(" " + MARK)), F.lit(MARK + " "), F.lit(MARK))
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
-        F.regexp_extract_all(marked, F.lit(f"{MARK}+[^{MARK}]*"), F.lit(0))
+        F.split(F.substring(parted, 2, (1 << 31) - 1), " ")
     )
 
 
 def blocks_of(words: DataFrame, keys: list[str], longest: int) -> DataFrame:
-    """Keys, block, skip, text: the words in blocks, each after the last characters of the one before (skip of them)."""
+    """Keys, first, skip, text: words in blocks from character `first` on, each behind the last characters of the one before."""
     cuts = F.regexp_extract_all("word", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
-    before = lambda i: F.substring(F.element_at("cuts", i), 1 - longest, longest - 1) if longest > 1 else F.lit("")
+    cuts = F.when(F.length("word") <= BLOCK, F.array("word")).otherwise(cuts)
+    before = lambda i: F.substring(F.element_at("cuts", F.greatest(i, F.lit(1))), 1 - longest, longest - 1)
     cut = F.transform("cuts", lambda c, i: F.struct(
-        i.alias("block"), F.when(i == 0, 0).otherwise(longest - 1).alias("skip"),
-        F.when(i == 0, c).otherwise(F.concat(before(F.greatest(i, F.lit(1))), c)).alias("text"),
+        (i * BLOCK).alias("first"), F.when(i == 0, 0).otherwise(longest - 1).alias("skip"),
+        F.when((i == 0) | F.lit(longest == 1), c).otherwise(F.concat(before(i), c)).alias("text"),
     ))
     return words.withColumn("cuts", cuts).select(*keys, F.inline(cut))
 
 
 def lattice(words: DataFrame, keys: list[str], pieces: DataFrame) -> DataFrame:
-    """Keys, blocks [(block, steps [(end, [(n, score, id)])])]: edges of n characters, by their end in their block.
+    """Keys, edges: one number per edge, its end (31 bits), its length (8) and its id (24), in order.
 
-    words holds the keys and word, not empty; the id of an unknown character is -1 less its code point. Nothing is shuffled
+    words holds the keys and word, not empty; an unknown character's id is UNSEEN plus its code point. Nothing is shuffled
     where words are partitioned by some of the keys.
     """
-    normal = pieces.filter("byte is null")
-    longest, worst = normal.agg(F.max(F.length("piece")), F.min("score")).first()
+    normal = pieces.filter("byte is null").select("piece", "id")
+    longest = _longest(pieces)
     parts = blocks_of(words, keys, longest)
-    held = [*keys, "block"]
-    ends = parts.select(*held, "skip", "text", F.explode(F.sequence(F.col("skip") + 1, F.length("text"))).alias("at"))
-    spans = ends.select(*held, "skip", "text", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), "at"))).alias("n"))
+    ends = parts.select(*keys, "first", "skip", "text", F.explode(F.sequence(F.col("skip") + 1, F.length("text"))).alias("at"))
+    spans = ends.select(*keys, "first", "skip", "text", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), "at"))).alias("n"))
     piece = F.substring(F.col("text"), F.col("at") - F.col("n") + 1, F.col("n"))
-    spans = spans.select(*held, (F.col("at") - F.col("skip")).alias("end"), "n", piece.alias("piece"))
+    end = (F.col("first") + F.col("at") - F.col("skip")).cast("long")
+    spans = spans.select(*keys, F.shiftleft(F.shiftleft(end, 8) + F.col("n"), 24).alias("span"), "n", piece.alias("piece"))
     edges = spans.join(F.broadcast(normal), "piece", "left").filter("id is not null or n = 1")
-    edge = F.struct("n", F.coalesce("score", F.lit(worst - UNKNOWN)).alias("score"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
-    steps = edges.groupBy(*held, "end").agg(F.collect_list(edge).alias("edges"))
-    blocks = steps.groupBy(*held).agg(F.array_sort(F.collect_list(F.struct("end", "edges"))).alias("steps"))
-    return blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "steps"))).alias("blocks"))
+    edge = F.col("span") + F.coalesce("id", UNSEEN + F.ascii("piece"))
+    return edges.select(*keys, edge.alias("edge")).groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+
+
+def _longest(pieces: DataFrame) -> int:
+    return pieces.filter("byte is null").agg(F.max(F.length("piece"))).first()[0]
 
 
 def _octets(code: Column) -> Column:
@@ -115,69 +123,100 @@ def _octets(code: Column) -> Column:
 
 
 def best_paths(lattices: DataFrame, keys: list[str], pieces: DataFrame) -> DataFrame:
-    """Keys, ids: the pieces of the best path, unknown characters as bytes."""
-    first_byte = pieces.filter("byte = 0").first().id
-    longest = pieces.filter("byte is null").agg(F.max(F.length("piece"))).first()[0]
-    place = lambda score: F.struct(F.lit(score).alias("score"), F.lit(0).alias("n"), F.lit(0).alias("id"))
-    start = F.concat(F.array_repeat(place(float("-inf")), longest - 1), F.array(place(0.0)))
-
-    def forward(trail: Column, step: Column) -> Column:
-        best = F.array_max(F.transform(step["edges"], lambda e: F.struct(
-            (F.element_at(trail, -e["n"])["score"] + e["score"]).alias("score"), e["n"].alias("n"), e["id"].alias("id")
-        )))
-        return F.concat(trail, F.array(best))
-
-    def next_block(trails: Column, block: Column) -> Column:
-        held = F.slice(F.element_at(trails, -1), -longest, longest)
-        return F.concat(trails, F.array(F.aggregate(block["steps"], held, forward)))
-
-    folded = lattices.select(*keys, F.aggregate("blocks", F.array(start), next_block).alias("trails"))
-
-    def back(state: Column, edge: Column) -> Column:
-        return F.when(state["skip"] > 0, F.struct((state["skip"] - 1).alias("skip"), state["path"].alias("path"))).otherwise(
-            F.struct((edge["n"] - 1).alias("skip"), F.concat(state["path"], F.array(edge["id"])).alias("path"))
+    """Keys, ids: the pieces of the best path, unknown characters as bytes.
+
+    Both folds run over EDGES edges at a time. A trail holds (score, edge) of the best path to each place; the next one begins
+    with as many of its last places as an edge can reach back to, the last of them still open.
+    """
+    first_byte, longest = pieces.filter("byte = 0").first().id, _longest(pieces)
+    known = {r.id: r.score for r in pieces.filter("byte is null").collect()}
+    scores = F.from_json(F.lit(str([known.get(i, 0.0) for i in range(max(known) + 1)])), "array<double>")
+    id_of = lambda edge: edge.bitwiseAND((1 << 24) - 1).cast("int")
+    length = lambda edge: F.shiftright(edge, 24).bitwiseAND(255).cast("int")
+    place = lambda score: F.struct(F.lit(score).alias("score"), F.lit(0).cast("long").alias("edge"))
+    start = F.concat(F.array_repeat(place(float("-inf")), longest), F.array(place(0.0)))
+
+    def forward(trail: Column, edge: Column) -> Column:
+        last = F.element_at(trail, -1)
+        same = F.shiftright(last["edge"], 32) == F.shiftright(edge, 32)
+        behind = F.element_at(trail, -length(edge) - F.when(same, 1).otherwise(0))["score"]
+        score = F.when(id_of(edge) >= UNSEEN, min(known.values()) - UNKNOWN).otherwise(F.element_at(scores, id_of(edge) + 1))
+        here = F.struct((behind + score).alias("score"), edge.alias("edge"))
+        better = F.concat(F.slice(trail, F.lit(1), F.size(trail) - 1), F.array(here))
+        return F.when(~same, F.concat(trail, F.array(here))).when(here > last, better).otherwise(trail)
+
+    def next_edges(trails: Column, k: Column) -> Column:
+        held = F.slice(F.element_at(trails, -1), -longest - 1, longest + 1)
+        return F.concat(trails, F.array(F.aggregate(F.slice("edges", k * EDGES + 1, F.lit(EDGES)), held, forward)))
+
+    turns = F.sequence(F.lit(0), F.floor((F.size("edges") - 1) / EDGES).cast("int"))
+    folded = lattices.select(*keys, F.aggregate(turns, F.array(start), next_edges).alias("trails"))
+
+    def back(state: Column, place: Column) -> Column:
+        held = state["skip"]
+        return F.when((held > 0) | (length(place["edge"]) == 0), F.struct((held - 1).alias("skip"), state["path"].alias("path"))).otherwise(
+            F.struct((length(place["edge"]) - 1).alias("skip"), F.concat(state["path"], F.array(id_of(place["edge"]))).alias("path"))
         )
 
-    def block_before(state: Column, trail: Column) -> Column:
-        own = F.reverse(F.slice(trail, F.lit(longest + 1), F.size(trail)))
+    def edges_before(state: Column, trail: Column) -> Column:
+        own = F.reverse(F.slice(trail, F.lit(longest + 1), F.size(trail) - longest - F.when(state["end"], 0).otherwise(1)))
         nothing = F.struct(state["skip"].alias("skip"), F.expr("cast(array() as array<int>)").alias("path"))
         return F.aggregate(own, nothing, back, lambda s: F.struct(
-            s["skip"].alias("skip"), F.concat(state["paths"], F.array(s["path"])).alias("paths")
+            F.lit(False).alias("end"), s["skip"].alias("skip"), F.concat(state["paths"], F.array(s["path"])).alias("paths")
         ))
 
-    none = F.struct(F.lit(0).alias("skip"), F.expr("cast(array() as array<array<int>>)").alias("paths"))
-    path = F.aggregate(F.reverse("trails"), none, block_before, lambda s: F.reverse(F.flatten(s["paths"])))
-    ids = lambda i: F.when(i >= 0, F.array(i)).otherwise(F.transform(_octets(-1 - i), lambda o: o + first_byte))
-    return folded.select(*keys, F.flatten(F.transform(path, ids)).alias("ids"))
+    none = F.struct(F.lit(True).alias("end"), F.lit(0).alias("skip"), F.expr("cast(array() as array<array<int>>)").alias("paths"))
+    own = F.slice(F.col("trails"), F.lit(2), F.size("trails"))
+    path = F.aggregate(F.reverse(own), none, edges_before, lambda s: F.reverse(F.flatten(s["paths"])))
+    octets = lambda i: F.transform(_octets(i - UNSEEN), lambda o: o + first_byte)
+    spelled = F.flatten(F.transform("path", lambda i: F.when(i < UNSEEN, F.array(i)).otherwise(octets(i))))
+    plain = ~F.exists("path", lambda i: i >= UNSEEN)
+    return folded.select(*keys, path.alias("path")).select(*keys, F.when(plain, F.col("path")).otherwise(spelled).alias("ids"))
 
 
-def frequent_paths(words: DataFrame, pieces: DataFrame, most: int) -> tuple[pa.Table, int]:
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, n: the short words that a batch holds twice or more; null and the number of all its words."""
+    for batch in batches:
+        flat = batch.column("words").flatten()
+        counts = flat.filter(pc.less_equal(pc.utf8_length(flat), SHORT)).value_counts()
+        counts = counts.filter(pc.greater(counts.field("counts"), 1))
+        columns = [counts.field("values").to_pylist() + [None], counts.field("counts").to_pylist() + [len(flat)]]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64())], ["word", "n"])
+
+
+def frequent_paths(rows: DataFrame, pieces: DataFrame, most: int) -> tuple[pa.Table, int]:
     """word, ids of the most frequent short words, `most` of them at most, and the number of all words.
 
+    Words are counted where a batch of texts holds them twice or more, which leaves out the long tail before the shuffle.
     Frequencies are parted on a scale of eighths of powers of two; a part that doesn't fit as a whole stays out.
     """
-    spark = words.sparkSession
-    total, file = Observation(), f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).observe(total, F.sum("n").alias("words"))
-    level = F.floor(8 * F.log2("n")).cast("int")
-    counted.filter((F.col("n") > 1) & (F.length("word") <= SHORT)).select("word", level.alias("level")).write.parquet(file)
-    counted, held, least = spark.read.schema("word string, level int").parquet(file), 0, 1 << 30
+    spark = rows.sparkSession
+    file = f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
+    counted = rows.select("words").mapInArrow(_repeated, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted.write.parquet(file)
+    counted, held, least = spark.read.schema("word string, n long").parquet(file), 0, 1 << 30
+    total = counted.filter("word is null").agg(F.sum("n")).first()[0] or 0
+    counted = counted.filter("word is not null").select("word", F.floor(8 * F.log2("n")).cast("int").alias("level"))
     for row in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
-        held += row["count"]
-        if held > most:
+        if held + row["count"] > most:
             break
-        least = row["level"]
-    chosen = counted.filter(F.col("level") >= least).select("word").repartition("word")
-    return best_paths(lattice(chosen, ["word"], pieces), ["word"], pieces).toArrow(), total.get["words"] or 0
+        held, least = held + row["count"], row["level"]
+    chosen = counted.filter(F.col("level") >= least).select("word").repartition(max(1, held // TASK_PATHS), "word")
+    return best_paths(lattice(chosen, ["word"], pieces), ["word"], pieces).toArrow(), total
+
+
+def _width(ids: np.ndarray) -> type:
+    """Two bytes an id where they do; the type's largest number stands for a word that isn't known."""
+    return np.uint16 if not len(ids) or ids.max() < (1 << 16) - 1 else np.uint32
 
 
 def _looked_up(known: Broadcast) -> Callable:
-    """row, held, words -> row, held, packed (ids as 32-bit numbers, HOLE for a word that isn't known), missing (those words)."""
+    """row, held, words -> row, held, packed (ids in a few bytes each, holes for words that aren't known), missing (those words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sizes, ids = known.value
-        words = pa.array(words, pa.string())
-        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids, pa.uint32()))
+        bounds, words = np.concatenate(([0], np.cumsum(sizes))), pa.array(words, pa.string())
+        ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
         for batch in batches:
             lists = batch.column("words")
             bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -187,7 +226,8 @@ def _looked_up(known: Broadcast) -> Callable:
             places = pc.fill_null(at, len(words))
             ends = np.concatenate(([0], np.cumsum(sizes[places.to_numpy()], dtype=np.int64)))
             values = ids.take(places).flatten().to_numpy()
-            packed = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(4 * ends[bounds]), pa.py_buffer(values)])
+            at_bytes = pa.py_buffer(values.itemsize * ends[bounds])
+            packed = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, at_bytes, pa.py_buffer(values)])
             holes = np.concatenate(([0], np.cumsum(gone.to_numpy(zero_copy_only=False)))).astype(np.int32)
             missing = pa.ListArray.from_arrays(pa.array(holes[bounds]), flat.filter(gone))
             yield pa.RecordBatch.from_arrays(
@@ -197,20 +237,24 @@ def _looked_up(known: Broadcast) -> Callable:
     return run
 
 
-def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _filled(kind: type) -> Callable:
     """held, packed, found (paths of the words missing, in order; null if none are) -> held, ids."""
-    for batch in batches:
-        packed = batch.column("packed").cast(pa.large_binary())
-        bounds = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(batch) + 1] // 4
-        values = np.frombuffer(packed.buffers()[2] or b"", np.uint32)[bounds[0] : bounds[-1]]
-        holes, found = values == HOLE, batch.column("found").flatten()
-        sizes = np.ones(len(values), np.int64)
-        sizes[holes] = pc.list_value_length(found).to_numpy()
-        ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-        ids = np.repeat(values, sizes)
-        ids[np.repeat(holes, sizes)] = found.flatten().to_numpy()
-        lists = pa.ListArray.from_arrays(pa.array(ends[bounds - bounds[0]]), pa.array(ids.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column("held"), lists], ["held", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = batch.column("packed").cast(pa.large_binary())
+            bounds = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(batch) + 1] // np.dtype(kind).itemsize
+            values = np.frombuffer(packed.buffers()[2] or b"", kind)[bounds[0] : bounds[-1]]
+            holes, found = values == np.iinfo(kind).max, batch.column("found").flatten()
+            sizes = np.ones(len(values), np.int64)
+            sizes[holes] = pc.list_value_length(found).to_numpy()
+            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            ids = np.repeat(values, sizes).astype(np.int32)
+            ids[np.repeat(holes, sizes)] = found.flatten().to_numpy()
+            lists = pa.ListArray.from_arrays(pa.array(ends[bounds - bounds[0]]), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column("held"), lists], ["held", "ids"])
+
+    return run
 
 
 def encode(texts: DataFrame, pieces: DataFrame, keys: list[str], frequent: int = FREQUENT) -> DataFrame:
@@ -223,10 +267,11 @@ def encode(texts: DataFrame, pieces: DataFrame, keys: list[str], frequent: int =
     names = [f"key{i}" for i in range(len(keys))]
     held = F.struct(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
     rows = texts.select(held.alias("held"), words_of(F.col("text")).alias("words"))
-    table, total = frequent_paths(rows.select(F.explode("words").alias("word")), pieces, frequent)
-    paths = table["ids"].combine_chunks()
+    table, total = frequent_paths(rows, pieces, frequent)
+    paths, kind = table["ids"].combine_chunks(), _width(np.array([r.id for r in pieces.select("id").collect()]))
     sizes = np.append(pc.list_value_length(paths).to_numpy(), 1).astype(np.int64)
-    known = spark.sparkContext.broadcast((table["word"].to_pylist(), sizes, np.append(paths.flatten().to_numpy(), HOLE).astype(np.uint32)))
+    ids = np.append(paths.flatten().to_numpy().astype(kind), kind(np.iinfo(kind).max))
+    known = spark.sparkContext.broadcast((table["word"].to_pylist(), sizes, ids))
     rows = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "held", "words")
     kept = T.StructType([*rows.select("row", "held").schema, *T.StructType.fromDDL("packed binary, missing array<string>")])
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, total // TASK_WORDS))
@@ -236,7 +281,7 @@ def encode(texts: DataFrame, pieces: DataFrame, keys: list[str], frequent: int =
     found = solved.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "ids"))), lambda p: p["ids"]).alias("found"))
     whole = looked.join(found.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left").select("held", "packed", "found")
     out = T.StructType([rows.schema["held"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return whole.mapInArrow(_filled, out).select("held.*", "ids").toDF(*keys, "ids")
+    return whole.mapInArrow(_filled(kind), out).select("held.*", "ids").toDF(*keys, "ids")
 
 
 def decode(encoded: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
