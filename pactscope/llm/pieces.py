@@ -11,8 +11,8 @@ before as the longest piece has characters, so they grow linearly with a word. U
 Words that repeat are counted. The paths of the most frequent ones, FREQUENT at most, each of SHORT
 characters at most, are solved once and broadcast: a proven bound. All other words are solved by the same lattice beside
 their text: its known ids and its other words are shuffled once by row, and no edge is shuffled. The piece table is of fixed
-size: broadcast to encode, one array to decode. The lattice of a word is one row, eight bytes an edge; folding it
-takes some hundred bytes a character.
+size: broadcast to encode, one array to decode. The lattice of a word is one row, some hundred
+bytes a character.
 
 Edge cases: null and empty texts have no pieces and decode to the empty text. U+2581 in a text decodes to a blank. Repeated
 rows are encoded each. An empty table gives an empty result. Key columns are passed on as they are, nulls and all; other
@@ -48,6 +48,8 @@ SHORT = 32
 #: Words of the texts to a partition of the shuffle by row, and the most partitions asked for.
 TASK_WORDS = 500_000
 MOST_PARTITIONS = 100_000
+#: Texts whose words are looked up together.
+SLICE = 2_000
 #: Words to a partition when the frequent ones are solved.
 TASK_PATHS = 25_000
 
@@ -89,22 +91,23 @@ def blocks_of(words: DataFrame, keys: list[str], longest: int) -> DataFrame:
 
 
 def lattice(words: DataFrame, keys: list[str], pieces: DataFrame) -> DataFrame:
-    """Keys, edges: one number per edge, its end (31 bits), its length (8) and its id (24), in order.
+    """Keys, edges [(end, n, score, id)]: edges of n characters by their ends.
 
     words holds the keys and word, not empty; an unknown character's id is UNSEEN plus its code point. Nothing is shuffled
     where words are partitioned by some of the keys.
     """
-    normal = pieces.filter("byte is null").select("piece", "id")
-    longest = _longest(pieces)
+    normal = pieces.filter("byte is null").select("piece", "score", "id")
+    longest, worst = _longest(pieces), normal.agg(F.min("score")).first()[0]
     parts = blocks_of(words, keys, longest)
     ends = parts.select(*keys, "first", "skip", "text", F.explode(F.sequence(F.col("skip") + 1, F.length("text"))).alias("at"))
     spans = ends.select(*keys, "first", "skip", "text", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), "at"))).alias("n"))
     piece = F.substring(F.col("text"), F.col("at") - F.col("n") + 1, F.col("n"))
-    end = (F.col("first") + F.col("at") - F.col("skip")).cast("long")
-    spans = spans.select(*keys, F.shiftleft(F.shiftleft(end, 8) + F.col("n"), 24).alias("span"), "n", piece.alias("piece"))
+    end = F.col("first") + F.col("at") - F.col("skip")
+    spans = spans.select(*keys, end.alias("end"), "n", piece.alias("piece"))
     edges = spans.join(F.broadcast(normal), "piece", "left").filter("id is not null or n = 1")
-    edge = F.col("span") + F.coalesce("id", UNSEEN + F.ascii("piece"))
-    return edges.select(*keys, edge.alias("edge")).groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    score, id_ = F.coalesce("score", F.lit(worst - UNKNOWN)), F.coalesce("id", UNSEEN + F.ascii("piece"))
+    edges = edges.select(*keys, F.struct("end", "n", score.alias("score"), id_.alias("id")).alias("edge"))
+    return edges.groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
 def _longest(pieces: DataFrame) -> int:
@@ -125,25 +128,25 @@ def _octets(code: Column) -> Column:
 def best_paths(lattices: DataFrame, keys: list[str], pieces: DataFrame) -> DataFrame:
     """Keys, ids: the pieces of the best path, unknown characters as bytes.
 
-    Both folds run over EDGES edges at a time. A trail holds (score, edge) of the best path to each place; the next one begins
-    with as many of its last places as an edge can reach back to, the last of them still open.
+    Both folds run over EDGES edges at a time. A trail holds (score, end, n, id) of the best path to each place; the next one
+    begins with as many of its last places as an edge can reach back to, the last of them still open.
     """
     first_byte, longest = pieces.filter("byte = 0").first().id, _longest(pieces)
-    known = {r.id: r.score for r in pieces.filter("byte is null").collect()}
-    scores = F.from_json(F.lit(str([known.get(i, 0.0) for i in range(max(known) + 1)])), "array<double>")
-    id_of = lambda edge: edge.bitwiseAND((1 << 24) - 1).cast("int")
-    length = lambda edge: F.shiftright(edge, 24).bitwiseAND(255).cast("int")
-    place = lambda score: F.struct(F.lit(score).alias("score"), F.lit(0).cast("long").alias("edge"))
+    zero = F.lit(0)
+    place = lambda score: F.struct(F.lit(score).alias("score"), zero.alias("end"), zero.alias("n"), zero.alias("id"))
     start = F.concat(F.array_repeat(place(float("-inf")), longest), F.array(place(0.0)))
 
     def forward(trail: Column, edge: Column) -> Column:
         last = F.element_at(trail, -1)
-        same = F.shiftright(last["edge"], 32) == F.shiftright(edge, 32)
-        behind = F.element_at(trail, -length(edge) - F.when(same, 1).otherwise(0))["score"]
-        score = F.when(id_of(edge) >= UNSEEN, min(known.values()) - UNKNOWN).otherwise(F.element_at(scores, id_of(edge) + 1))
-        here = F.struct((behind + score).alias("score"), edge.alias("edge"))
-        better = F.concat(F.slice(trail, F.lit(1), F.size(trail) - 1), F.array(here))
-        return F.when(~same, F.concat(trail, F.array(here))).when(here > last, better).otherwise(trail)
+
+        def here(behind: Column) -> Column:
+            score = F.element_at(trail, behind)["score"] + edge["score"]
+            return F.struct(score.alias("score"), edge["end"].alias("end"), edge["n"].alias("n"), edge["id"].alias("id"))
+
+        better = F.array(F.greatest(last, here(-1 - edge["n"])))
+        return F.when(last["end"] == edge["end"], F.concat(F.slice(trail, F.lit(1), F.size(trail) - 1), better)).otherwise(
+            F.concat(trail, F.array(here(-edge["n"])))
+        )
 
     def next_edges(trails: Column, k: Column) -> Column:
         held = F.slice(F.element_at(trails, -1), -longest - 1, longest + 1)
@@ -153,9 +156,8 @@ def best_paths(lattices: DataFrame, keys: list[str], pieces: DataFrame) -> DataF
     folded = lattices.select(*keys, F.aggregate(turns, F.array(start), next_edges).alias("trails"))
 
     def back(state: Column, place: Column) -> Column:
-        held = state["skip"]
-        return F.when((held > 0) | (length(place["edge"]) == 0), F.struct((held - 1).alias("skip"), state["path"].alias("path"))).otherwise(
-            F.struct((length(place["edge"]) - 1).alias("skip"), F.concat(state["path"], F.array(id_of(place["edge"]))).alias("path"))
+        return F.when((state["skip"] > 0) | (place["n"] == 0), F.struct((state["skip"] - 1).alias("skip"), state["path"].alias("path"))).otherwise(
+            F.struct((place["n"] - 1).alias("skip"), F.concat(state["path"], F.array(place["id"])).alias("path"))
         )
 
     def edges_before(state: Column, trail: Column) -> Column:
@@ -174,9 +176,15 @@ def best_paths(lattices: DataFrame, keys: list[str], pieces: DataFrame) -> DataF
     return folded.select(*keys, path.alias("path")).select(*keys, F.when(plain, F.col("path")).otherwise(spelled).alias("ids"))
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch's words and ids are many times its rows: SLICE rows at a time."""
+    for batch in batches:
+        yield from (batch.slice(k, SLICE) for k in range(0, batch.num_rows, SLICE))
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """word, n: the short words that a batch holds twice or more; null and the number of all its words."""
-    for batch in batches:
+    for batch in _sliced(batches):
         flat = batch.column("words").flatten()
         counts = flat.filter(pc.less_equal(pc.utf8_length(flat), SHORT)).value_counts()
         counts = counts.filter(pc.greater(counts.field("counts"), 1))
@@ -215,9 +223,8 @@ def _looked_up(known: Broadcast) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sizes, ids = known.value
-        bounds, words = np.concatenate(([0], np.cumsum(sizes))), pa.array(words, pa.string())
-        ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
-        for batch in batches:
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids))
+        for batch in _sliced(batches):
             lists = batch.column("words")
             bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             flat = lists.flatten()
@@ -241,7 +248,7 @@ def _filled(kind: type) -> Callable:
     """held, packed, found (paths of the words missing, in order; null if none are) -> held, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             packed = batch.column("packed").cast(pa.large_binary())
             bounds = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(batch) + 1] // np.dtype(kind).itemsize
             values = np.frombuffer(packed.buffers()[2] or b"", kind)[bounds[0] : bounds[-1]]
@@ -271,7 +278,7 @@ def encode(texts: DataFrame, pieces: DataFrame, keys: list[str], frequent: int =
     paths, kind = table["ids"].combine_chunks(), _width(np.array([r.id for r in pieces.select("id").collect()]))
     sizes = np.append(pc.list_value_length(paths).to_numpy(), 1).astype(np.int64)
     ids = np.append(paths.flatten().to_numpy().astype(kind), kind(np.iinfo(kind).max))
-    known = spark.sparkContext.broadcast((table["word"].to_pylist(), sizes, ids))
+    known = spark.sparkContext.broadcast((table["word"].combine_chunks(), sizes, ids))
     rows = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "held", "words")
     kept = T.StructType([*rows.select("row", "held").schema, *T.StructType.fromDDL("packed binary, missing array<string>")])
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, total // TASK_WORDS))
