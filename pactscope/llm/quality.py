@@ -107,12 +107,12 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Learns from labels (doc_id, quality), one row per id (the largest label), on a bounded sample."""
+    """Learns from labels (doc_id, quality), one row per id (the largest label, the smallest text), on a bounded sample."""
     marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
     place = F.xxhash64("doc_id")
     sample = marks.select(F.col("doc_id").alias("id"), "good", place.alias("place")).orderBy("place", "id").limit(SAMPLE)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id"))
-    chosen = chosen.dropDuplicates(["doc_id"]).select("place", "good", "text")
+    chosen = chosen.groupBy("place", "good", "doc_id").agg(F.min("text").alias("text")).select("place", "good", "text")
     counted = chosen.mapInArrow(_counted, "place long, good int, ids binary, counts binary")
     examples, size = [], 0
     for row in counted.orderBy("place").toLocalIterator():
