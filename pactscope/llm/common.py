@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read again: as cut, for long tables of numbers, which columns compress."""
+    file = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(file)
+    return df.sparkSession.read.schema(df.schema).parquet(file)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df (already cut, narrow) with a broadcast hint if it has so few rows, else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() <= rows else df
