@@ -29,7 +29,7 @@ def pack_batches(clauses: DataFrame, max_chars: int = BATCH_CHARS) -> DataFrame:
 def batch_payloads(clauses: DataFrame, batches: DataFrame) -> DataFrame:
     """One JSON array of clauses per batch."""
     item = F.struct("idx", F.struct("clause_id", "title", "text").alias("c"))
-    rows = clauses.join(batches, ["doc_id", "idx"]).groupBy("doc_id", "batch_no").agg(
+    rows = clauses.join(batches.hint("merge"), ["doc_id", "idx"]).groupBy("doc_id", "batch_no").agg(
         F.array_sort(F.collect_list(item), lambda a, b: a["idx"] - b["idx"]).alias("_c")
     )
     return rows.select("doc_id", "batch_no", F.size("_c").alias("n"), F.to_json(F.col("_c.c")).alias("payload"))
