@@ -144,3 +144,13 @@ def spread(df: DataFrame, keys: list, array: Column, position: str, item: str) -
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once per row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def apart(value: Column) -> Column:
+    """The same value, by way of a list of one.
+
+    Spark keeps a projection with such a list out of whole-stage code and builds its other columns from small methods.
+    Some hundred tests for words in one method make it larger than the JVM compiles (8,000 bytes), and it is then
+    interpreted row by row.
+    """
+    return let(value, lambda x: x)

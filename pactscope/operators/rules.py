@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactscope.functions import lexicon as lex
-from pactscope.functions.text import has_more_words_than, has_pattern, has_words, matches, sql_literal, strip
+from pactscope.functions.text import apart, has_more_words_than, has_pattern, has_words, matches, sql_literal, strip
 from pactscope.functions.wording import OUTCOMES
 
 MITIGATIONS = ["has_cap", "has_mutuality", "has_condition", "has_cure_period"]
@@ -57,7 +57,7 @@ def pattern_flag(name: str) -> Column:
 def pattern_flags(clauses: DataFrame) -> DataFrame:
     """One 0/1 column per named pattern."""
     return with_lowered(clauses).select(
-        "doc_id", "idx", *[pattern_flag(n).cast("bigint").alias(n) for n in lex.PATTERNS]
+        "doc_id", apart(F.col("idx")).alias("idx"), *[pattern_flag(n).cast("bigint").alias(n) for n in lex.PATTERNS]
     )
 
 

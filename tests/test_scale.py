@@ -41,6 +41,15 @@ def test_clauses_that_are_not_together_meet_by_contract(spark):
     assert b.exceptAll(a).isEmpty()
 
 
+def test_pattern_flags_are_no_single_method(spark):
+    """Whole-stage code of all patterns is one method, larger than the JVM compiles."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = rule_queries.QUERIES["r1_pattern_flags"](session, SF)._jdf.queryExecution().executedPlan().toString()
+    tests = [line for line in plan.splitlines() if "RLIKE" in line]
+    assert tests and not [line for line in tests if re.search(r"\*\(\d+\)", line)]
+
+
 def plain_next_fit(sizes, limit):
     begins, used = [], 0
     for i, n in enumerate(sizes):
