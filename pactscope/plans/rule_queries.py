@@ -114,9 +114,9 @@ def r5(spark, sf_dir):
       summary FROM asd WHERE NOT is_risk_bearing""",
 )
 def r6(spark, sf_dir):
-    structured = rules.with_structure(corpus.clauses(spark, sf_dir)).where(~F.col("is_risk_bearing"))
+    structured = rules.with_structure(corpus.clauses(spark, sf_dir))
     out = rules.with_outcome(structured.withColumn("rule", F.concat(F.lit("kind_"), F.lower("clause_kind"))))
-    return out.select(
+    return out.where(~F.col("is_risk_bearing")).select(
         *_keys(), "clause_kind", "category", "risk_level", F.col("unfairness").cast("bigint").alias("unfairness"), "summary"
     )
 

@@ -41,6 +41,12 @@ def test_clauses_that_are_not_together_meet_by_contract(spark):
     assert b.exceptAll(a).isEmpty()
 
 
+@pytest.mark.parametrize("name", ["r6_non_risk_assessment", "a5_risk_pages"])
+def test_filters_hold_no_copy_of_the_rules(spark, name):
+    plan = rule_queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "RLIKE" in line]
+
+
 def test_pattern_flags_are_no_single_method(spark):
     """Whole-stage code of all patterns is one method, larger than the JVM compiles."""
     session = spark.newSession()
