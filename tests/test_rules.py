@@ -1,7 +1,11 @@
 """Hand-traced clauses, scores and references."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from pactscope.functions import lexicon as lex
+from pactscope.functions.text import has_pattern
 from pactscope.operators import predicates, ranking, rules, score, xref
 from pactscope.sources.corpus import TEMPLATES
 
@@ -122,3 +126,58 @@ def test_global_questions(spark):
             ("Where am I most exposed?", True), ("Who owns the code?", False)]
     df = spark.createDataFrame(rows, "m string, want boolean")
     assert df.where(predicates.is_global_risk_question(F.col("m")) != F.col("want")).count() == 0
+
+
+def test_the_assessment_is_no_single_method(spark):
+    """In whole-stage code all tests of a clause's words are one method, larger than the JVM compiles."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    rows = session.createDataFrame([(0, 1, t, b) for t, b in TEMPLATES], "doc_id long, idx int, title string, text string")
+    clauses = rows.withColumns({"clause_id": F.lit("clause_1"), "page_no": F.lit(1), "start_offset": F.lit(0), "end_offset": F.lit(0)})
+    for out in (rules.evaluate_clauses(clauses), xref.evaluate_documents(clauses)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        fused = [line for line in plan.splitlines() if re.search(r"\*\(\d+\)", line) and line.count("Contains(") + line.count("RLIKE") > 4]
+        assert "RLIKE" in plan and not fused
+
+
+def phrases_of(pattern):
+    """Every phrase of an alternation once as a text: options taken, first of each group, blanks single."""
+    inner = pattern.removeprefix(r"\b(?:").removesuffix(r")\b")
+    tree = re._parser.parse(inner)
+    branches = tree[0][1][1] if len(tree) == 1 and str(tree[0][0]) == "BRANCH" else [tree]
+
+    def texts(items):
+        found = [""]
+        for op, value in items:
+            kind = str(op)
+            if kind == "LITERAL":
+                more = [chr(value)]
+            elif kind == "IN":
+                more = [" " if any("SPACE" in str(v) for _, v in value) else "7" if any("DIGIT" in str(v) for _, v in value) else chr(value[0][1] if isinstance(value[0][1], int) else value[0][1][0])]
+            elif kind == "ANY":
+                more = ["x"]
+            elif kind == "SUBPATTERN":
+                more = texts(value[-1])
+            elif kind == "BRANCH":
+                more = [t for b in value[1] for t in texts(b)]
+            elif kind == "MAX_REPEAT":
+                low, _, inside = value
+                more = [t * max(low, 1) for t in texts(inside)] + ([""] if low == 0 else [])
+            else:
+                raise ValueError(kind)
+            found = [a + b for a in found for b in more]
+        return found
+
+    return [t for b in branches for t in texts(b)]
+
+
+def test_shortcuts_lose_no_phrase(spark):
+    """Guards and looks at the next letter hold for every phrase of every pattern."""
+    cases = [(name, t) for name, p in lex.PATTERNS.items() if p in lex.INITIALS for t in set(phrases_of(p))]
+    assert len(cases) > 300
+    for name, text in cases:
+        assert re.search(f"(?={lex.INITIALS[lex.PATTERNS[name]]})" + lex.PATTERNS[name], text), (name, text)
+        assert name not in lex.GUARDS or any(g in text for g in lex.GUARDS[name]), (name, text)
+    seen = spark.createDataFrame([(n, f"so {t}.") for n, t in cases if not t.startswith("^")], "name string, _body string")
+    for name in lex.GUARDS:
+        assert seen.where((F.col("name") == name) & ~has_pattern("_body", name)).count() == 0
