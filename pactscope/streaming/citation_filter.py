@@ -5,8 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -44,21 +43,20 @@ class CitationFilter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tail = handle.getValueState("tail", StructType([StructField("tail", StringType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.tail.get()[0] if self.tail.exists() else ""
-        shown, ended = [], False
-        chunks = pd.concat(list(rows)).sort_values("seq")
-        for seq, chunk, last in zip(chunks["seq"], chunks["chunk"], chunks["last"]):
-            out, held = pass_on(held, chunk)
-            if last:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """State is asked for once, and written only where it changes: each call goes to the JVM and back."""
+        before = self.tail.get()
+        held, ended = before[0] if before else "", False
+        for row in sorted(rows, key=lambda row: row["seq"]):
+            out, held = pass_on(held, row["chunk"])
+            if row["last"]:
                 out, held, ended = out + last_words(held), "", True
             if out:
-                shown.append((key[0], int(seq), out))
-        if ended:
-            self.tail.clear()
-        else:
+                yield Row(msg_id=key[0], seq=row["seq"], content=out)
+        if not ended:
             self.tail.update((held,))
-        yield pd.DataFrame(shown, columns=["msg_id", "seq", "content"])
+        elif before:
+            self.tail.clear()
 
     def close(self) -> None:
         pass
@@ -66,7 +64,7 @@ class CitationFilter(StatefulProcessor):
 
 def filter_citation_markers(chunks: DataFrame) -> DataFrame:
     """Stream of (msg_id, seq, chunk, last) to a stream of (msg_id, seq, content)."""
-    return chunks.groupBy("msg_id").transformWithStateInPandas(
+    return chunks.groupBy("msg_id").transformWithState(
         statefulProcessor=CitationFilter(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
     )
 

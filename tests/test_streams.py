@@ -4,9 +4,10 @@ import json
 import os
 
 import pytest
+from pyspark.sql import Row
 
 from pactscope.sources import corpus
-from pactscope.streaming import assembly, audit, runs
+from pactscope.streaming import assembly, audit, citation_filter, runs
 
 SF = "/root/testdata/sf0.001"
 EVENT = "msg_id long, seq int, type string, content string, clause_ids array<string>"
@@ -120,3 +121,36 @@ def test_located_clauses(spark):
         (1, 1): (1, 0, first), (1, 2): (2, 0, second), (1, 3): (2, second + 1, second + 1 + len(f"3. Third  Part\n{body}")),
         (2, 1): (1, 0, len("3. Lone\nNothing of note is said in this long line.")),
     }
+
+
+class Tail:
+    """The state of one message, with the calls it got."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+
+def test_the_citation_filter_asks_for_state_once():
+    def said(seq, chunk, last):
+        return Row(msg_id=5, seq=seq, chunk=chunk, last=last)
+
+    step = citation_filter.CitationFilter()
+    step.tail = Tail()
+    whole = list(step.handleInputRows((5,), iter([said(1, "E:x] b [CITE:", True), said(0, "a [CIT", False)]), None))
+    assert whole == [Row(msg_id=5, seq=0, content="a "), Row(msg_id=5, seq=1, content=" b ")]
+    assert step.tail.calls == ["get"]
+    assert list(step.handleInputRows((5,), iter([said(0, "a [CIT", False)]), None)) == [Row(msg_id=5, seq=0, content="a ")]
+    assert list(step.handleInputRows((5,), iter([said(1, "E:x] b", True)]), None)) == [Row(msg_id=5, seq=1, content=" b")]
+    assert step.tail.calls == ["get", "get", "update", "get", "clear"]
