@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -69,5 +70,14 @@ def test_remove_repeats_keeps_columns_and_characters(spark):
     assert (got[1].n_chars, got[4].n_chars, got[3].n_chars) == (10, 5, None)
 
 
+def test_a_shuffled_row_holds_its_text_once(spark, capsys):
+    docs = spark.createDataFrame(rows(n=20), SCHEMA).select("doc_id", "text", "n_chars")
+    for result in (suffix.remove_repeats(docs, 50), suffix.removal_report(docs, 50)):
+        result.explain("formatted")
+        dealt = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out)
+        wide = [re.findall(r"\b(?:text|_*data)#", columns) for columns in dealt]
+        assert max(map(len, wide)) == 1
+
+
 def test_empty_table(spark):
     assert suffix.removal_report(spark.createDataFrame([], SCHEMA)).collect() == []
