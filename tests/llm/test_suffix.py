@@ -79,5 +79,15 @@ def test_a_shuffled_row_holds_its_text_once(spark, capsys):
         assert max(map(len, wide)) == 1
 
 
+def test_the_report_deals_out_texts_once(spark, capsys):
+    result = suffix.removal_report(spark.createDataFrame(rows(n=20), SCHEMA), 50)
+    result.collect()
+    result.explain("formatted")
+    plan = capsys.readouterr().out
+    ran = re.findall(r"[- ]Exchange \((\d+)\)", plan.split("Initial Plan")[0])
+    texts = re.findall(r"\((\d+)\) Exchange\nInput \[3\]: \[doc_id#\d+L?, mark#\d+L, data#\d+\]", plan)
+    assert len(set(ran) & set(texts)) == 1
+
+
 def test_empty_table(spark):
     assert suffix.removal_report(spark.createDataFrame([], SCHEMA)).collect() == []
