@@ -1,18 +1,16 @@
 """SentencePiece encoding and decoding as relational operations over a lattice.
 
 Texts are normalised as the model says (a blank in front, blanks written as U+2581) and parted before each run of blanks; no
-piece of the model crosses such a place, so the best path of a text is the best paths of its words in a row. Words are cut
-into blocks of BLOCK characters; substrings of bounded length that end in a block are exploded and equi-joined to the piece
-table, which gives the edges of the lattice; characters without a piece get an edge of the unknown score. Edges are grouped
-by word in order of their ends, and two higher-order aggregates fold the best scores forward and the best path back (largest
-sum of scores; ties go to the longer last piece). They take EDGES edges at a time and start from as many places of the ones
-before as the longest piece has characters, so they grow linearly with a word. Unknown characters become their byte pieces.
-
-Words that repeat are counted. The paths of the most frequent ones, FREQUENT at most, each of SHORT
-characters at most, are solved once and broadcast: a proven bound. All other words are solved by the same lattice beside
-their text: its known ids and its other words are shuffled once by row, and no edge is shuffled. The piece table is of fixed
-size: broadcast to encode, one array to decode. The lattice of a word is one row, some hundred
-bytes a character.
+piece of the model crosses such a place, so the best path of a text is the best paths of its words in a row. The words of a
+batch are joined to the piece table character by character: from each place the substrings that begin some piece go on, and
+those that are pieces give the edges of the lattice; characters without a piece get an edge of the unknown score. The best
+scores are folded forward over the places of all words at once, and the best paths back (largest sum of scores; ties go to
+the longer last piece). BLOCK characters are taken at a time, and a longer word starts again from as many places before as
+the longest piece has characters, so time grows linearly with a word. Unknown characters become their byte pieces.
+
+Words that repeat are counted. The paths of the most frequent ones, FREQUENT at most, each of SHORT characters at most, are
+solved once and broadcast: a proven bound. All other words are solved by the same lattice beside their text, once for each
+SLICE texts; texts and ids are not shuffled. The piece table is of fixed size: broadcast to encode, one array to decode.
 
 Edge cases: null and empty texts have no pieces and decode to the empty text. U+2581 in a text decodes to a blank. Repeated
 rows are encoded each. An empty table gives an empty result. Key columns are passed on as they are, nulls and all; other
@@ -37,17 +35,13 @@ from pactscope.llm.common import shared_folder
 #: Fixed value: what an unknown character scores below the worst piece.
 UNKNOWN = 10.0
 MARK = "▁"
-#: Characters of a word that are exploded together, edges that are folded together.
-BLOCK = 256
-EDGES = 512
+#: Characters whose edges are held at a time.
+BLOCK = 1 << 14
 #: Ids of pieces are smaller; unknown characters are numbered from here on by their code points.
 UNSEEN = 1 << 22
 #: Words whose paths are broadcast, and their longest length in characters.
 FREQUENT = 1 << 19
 SHORT = 32
-#: Words of the texts to a partition of the shuffle by row, and the most partitions asked for.
-TASK_WORDS = 500_000
-MOST_PARTITIONS = 100_000
 #: Texts whose words are looked up together.
 SLICE = 2_000
 #: Words to a partition when the frequent ones are solved.
@@ -78,102 +72,135 @@ def words_of(text: Column) -> Column:
     )
 
 
-def blocks_of(words: DataFrame, keys: list[str], longest: int) -> DataFrame:
-    """Keys, first, skip, text: words in blocks from character `first` on, each behind the last characters of the one before."""
-    cuts = F.regexp_extract_all("word", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
-    cuts = F.when(F.length("word") <= BLOCK, F.array("word")).otherwise(cuts)
-    before = lambda i: F.substring(F.element_at("cuts", F.greatest(i, F.lit(1))), 1 - longest, longest - 1)
-    cut = F.transform("cuts", lambda c, i: F.struct(
-        (i * BLOCK).alias("first"), F.when(i == 0, 0).otherwise(longest - 1).alias("skip"),
-        F.when((i == 0) | F.lit(longest == 1), c).otherwise(F.concat(before(i), c)).alias("text"),
-    ))
-    return words.withColumn("cuts", cuts).select(*keys, F.inline(cut))
-
-
-def lattice(words: DataFrame, keys: list[str], pieces: DataFrame) -> DataFrame:
-    """Keys, edges [(end, n, score, id)]: edges of n characters by their ends.
+class Pieces:
+    """The piece table as a trie of characters, for the words of a batch.
 
-    words holds the keys and word, not empty; an unknown character's id is UNSEEN plus its code point. Nothing is shuffled
-    where words are partitioned by some of the keys.
+    Transitions are sorted numbers (node in front, character behind); a walk of one character is an equi-join with them.
     """
-    normal = pieces.filter("byte is null").select("piece", "score", "id")
-    longest, worst = _longest(pieces), normal.agg(F.min("score")).first()[0]
-    parts = blocks_of(words, keys, longest)
-    ends = parts.select(*keys, "first", "skip", "text", F.explode(F.sequence(F.col("skip") + 1, F.length("text"))).alias("at"))
-    spans = ends.select(*keys, "first", "skip", "text", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), "at"))).alias("n"))
-    piece = F.substring(F.col("text"), F.col("at") - F.col("n") + 1, F.col("n"))
-    end = F.col("first") + F.col("at") - F.col("skip")
-    spans = spans.select(*keys, end.alias("end"), "n", piece.alias("piece"))
-    edges = spans.join(F.broadcast(normal), "piece", "left").filter("id is not null or n = 1")
-    score, id_ = F.coalesce("score", F.lit(worst - UNKNOWN)), F.coalesce("id", UNSEEN + F.ascii("piece"))
-    edges = edges.select(*keys, F.struct("end", "n", score.alias("score"), id_.alias("id")).alias("edge"))
-    return edges.groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-
-
-def _longest(pieces: DataFrame) -> int:
-    return pieces.filter("byte is null").agg(F.max(F.length("piece"))).first()[0]
-
-
-def _octets(code: Column) -> Column:
-    """The UTF-8 bytes of a code point."""
-    tail = lambda bits: F.lit(128) + F.shiftright(code, bits).bitwiseAND(63)
-    return (
-        F.when(code < 0x80, F.array(code))
-        .when(code < 0x800, F.array(192 + F.shiftright(code, 6), tail(0)))
-        .when(code < 0x10000, F.array(224 + F.shiftright(code, 12), tail(6), tail(0)))
-        .otherwise(F.array(240 + F.shiftright(code, 18), tail(12), tail(6), tail(0)))
-    )
-
 
-def best_paths(lattices: DataFrame, keys: list[str], pieces: DataFrame) -> DataFrame:
-    """Keys, ids: the pieces of the best path, unknown characters as bytes.
-
-    Both folds run over EDGES edges at a time. A trail holds (score, end, n, id) of the best path to each place; the next one
-    begins with as many of its last places as an edge can reach back to, the last of them still open.
+    def __init__(self, table: list) -> None:
+        normal = [r for r in table if r.byte is None]
+        self.first_byte = next(r.id for r in table if r.byte == 0)
+        self.longest = max(len(r.piece) for r in normal)
+        self.unknown = min(r.score for r in normal) - UNKNOWN
+        nodes: dict[str, int] = {"": 0}
+        for r in normal:
+            for k in range(1, len(r.piece) + 1):
+                nodes.setdefault(r.piece[:k], len(nodes))
+        steps = sorted((nodes[p[:-1]] << 21 | ord(p[-1]), n) for p, n in nodes.items() if p)
+        self.steps, self.nodes = (np.array(c, np.int64) for c in zip(*steps, strict=True))
+        self.ids, self.scores = np.full(len(nodes), -1, np.int32), np.full(len(nodes), -np.inf)
+        for r in normal:
+            self.ids[nodes[r.piece]], self.scores[nodes[r.piece]] = r.id, r.score
+
+
+def lattice(codes: np.ndarray, left: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """scores, ids [end, longest - n]: the edges of n characters that end with each character, -inf and -1 where there are none.
+
+    left: the characters from each on to the end of its word. An unknown character's id is UNSEEN plus its code point.
+    """
+    scores = np.full((len(codes), pieces.longest), -np.inf)
+    ids = np.full((len(codes), pieces.longest), -1, np.int32)
+    at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+    for n in range(1, pieces.longest + 1):
+        wanted = node << 21 | codes[at + n - 1]
+        step = np.searchsorted(pieces.steps, wanted)
+        step[step == len(pieces.steps)] = 0
+        known = pieces.steps[step] == wanted
+        at, node = at[known], pieces.nodes[step[known]]
+        scores[at + n - 1, pieces.longest - n] = pieces.scores[node]
+        ids[at + n - 1, pieces.longest - n] = pieces.ids[node]
+        more = left[at] > n
+        at, node = at[more], node[more]
+    unseen = ids[:, -1] < 0
+    scores[unseen, -1], ids[unseen, -1] = pieces.unknown, UNSEEN + codes[unseen]
+    return scores, ids
+
+
+def _forward(scores: np.ndarray, sizes: np.ndarray, trails: np.ndarray) -> np.ndarray:
+    """The column of scores with the last edge of the best path to each character; ties go to the longer edge.
+
+    Words lie one behind the other, longest first. trails: per word, the scores of the places in front of it that an edge can
+    reach back to; the scores of the last such places are left there.
     """
-    first_byte, longest = pieces.filter("byte = 0").first().id, _longest(pieces)
-    zero = F.lit(0)
-    place = lambda score: F.struct(F.lit(score).alias("score"), zero.alias("end"), zero.alias("n"), zero.alias("id"))
-    start = F.concat(F.array_repeat(place(float("-inf")), longest), F.array(place(0.0)))
-
-    def forward(trail: Column, edge: Column) -> Column:
-        last = F.element_at(trail, -1)
-
-        def here(behind: Column) -> Column:
-            score = F.element_at(trail, behind)["score"] + edge["score"]
-            return F.struct(score.alias("score"), edge["end"].alias("end"), edge["n"].alias("n"), edge["id"].alias("id"))
-
-        better = F.array(F.greatest(last, here(-1 - edge["n"])))
-        return F.when(last["end"] == edge["end"], F.concat(F.slice(trail, F.lit(1), F.size(trail) - 1), better)).otherwise(
-            F.concat(trail, F.array(here(-edge["n"])))
-        )
-
-    def next_edges(trails: Column, k: Column) -> Column:
-        held = F.slice(F.element_at(trails, -1), -longest - 1, longest + 1)
-        return F.concat(trails, F.array(F.aggregate(F.slice("edges", k * EDGES + 1, F.lit(EDGES)), held, forward)))
-
-    turns = F.sequence(F.lit(0), F.floor((F.size("edges") - 1) / EDGES).cast("int"))
-    folded = lattices.select(*keys, F.aggregate(turns, F.array(start), next_edges).alias("trails"))
-
-    def back(state: Column, place: Column) -> Column:
-        return F.when((state["skip"] > 0) | (place["n"] == 0), F.struct((state["skip"] - 1).alias("skip"), state["path"].alias("path"))).otherwise(
-            F.struct((place["n"] - 1).alias("skip"), F.concat(state["path"], F.array(place["id"])).alias("path"))
-        )
-
-    def edges_before(state: Column, trail: Column) -> Column:
-        own = F.reverse(F.slice(trail, F.lit(longest + 1), F.size(trail) - longest - F.when(state["end"], 0).otherwise(1)))
-        nothing = F.struct(state["skip"].alias("skip"), F.expr("cast(array() as array<int>)").alias("path"))
-        return F.aggregate(own, nothing, back, lambda s: F.struct(
-            F.lit(False).alias("end"), s["skip"].alias("skip"), F.concat(state["paths"], F.array(s["path"])).alias("paths")
-        ))
-
-    none = F.struct(F.lit(True).alias("end"), F.lit(0).alias("skip"), F.expr("cast(array() as array<array<int>>)").alias("paths"))
-    own = F.slice(F.col("trails"), F.lit(2), F.size("trails"))
-    path = F.aggregate(F.reverse(own), none, edges_before, lambda s: F.reverse(F.flatten(s["paths"])))
-    octets = lambda i: F.transform(_octets(i - UNSEEN), lambda o: o + first_byte)
-    spelled = F.flatten(F.transform("path", lambda i: F.when(i < UNSEEN, F.array(i)).otherwise(octets(i))))
-    plain = ~F.exists("path", lambda i: i >= UNSEEN)
-    return folded.select(*keys, path.alias("path")).select(*keys, F.when(plain, F.col("path")).otherwise(spelled).alias("ids"))
+    longest, starts = scores.shape[1], np.cumsum(sizes) - sizes
+    chosen = np.zeros(len(scores), np.int8 if longest < 128 else np.int32)
+    best = np.zeros(len(scores) + longest * len(sizes))
+    places = starts + longest * np.arange(len(sizes))
+    windows = np.lib.stride_tricks.sliding_window_view(best, longest)
+    best[places[:, None] + np.arange(longest)] = trails
+    alive = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
+    for k, words in enumerate(alive.tolist()):
+        sums = windows[places[:words] + k] + scores[starts[:words] + k]
+        last = sums.argmax(axis=1)
+        chosen[starts[:words] + k] = last
+        best[places[:words] + k + longest] = sums[np.arange(words), last]
+    trails[:] = windows[places + sizes]
+    return chosen
+
+
+def _on_path(lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the best path of a word has an edge that ends with each character, from the lengths of the best edges."""
+    ends = np.zeros(len(lengths), bool)
+    starts = np.cumsum(sizes) - sizes
+    at = starts + sizes - 1
+    while len(at):
+        ends[at] = True
+        at = at - lengths[at]
+        on = at >= starts
+        at, starts = at[on], starts[on]
+    return ends
+
+
+def _solved(codes: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The edges on the best paths of words, longest word first: their ids and how many each word has."""
+    ends, ids = np.zeros(len(codes), bool), np.zeros(len(codes), np.int32)
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    word = 0
+    while word < len(sizes):
+        upto = max(word + 1, int(np.searchsorted(bounds, bounds[word] + BLOCK, side="right")) - 1)
+        some, begin, end = sizes[word:upto], bounds[word], bounds[upto]
+        lengths = np.zeros(end - begin, np.int32)
+        trails = np.full((len(some), pieces.longest), -np.inf)
+        trails[:, -1] = 0
+        left = np.repeat(bounds[word + 1 : upto + 1], some) - np.arange(begin, end)
+        # One word of more than BLOCK characters is taken in several steps.
+        for a in range(0, end - begin, BLOCK):
+            b, back = min(a + BLOCK, end - begin), min(a, pieces.longest - 1)
+            scores, own = lattice(codes[begin + a - back : begin + b], np.minimum(left[a - back : b], b - np.arange(a - back, b)), pieces)
+            scores, own = scores[back:], own[back:]
+            chosen = _forward(scores, some if len(some) > 1 else np.array([b - a]), trails)
+            lengths[a:b], ids[begin + a : begin + b] = pieces.longest - chosen, own[np.arange(b - a), chosen]
+        ends[begin:end] = _on_path(lengths, some)
+        word = upto
+    return ids[ends], np.add.reduceat(ends, bounds[:-1], dtype=np.int64) if len(sizes) else np.zeros(0, np.int64)
+
+
+def _spelled(ids: np.ndarray, sizes: np.ndarray, first_byte: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and sizes with unknown characters as byte pieces, the UTF-8 bytes of each."""
+    unseen = ids >= UNSEEN
+    if not unseen.any():
+        return ids, sizes
+    octets = [chr(c).encode() for c in (ids[unseen] - UNSEEN).tolist()]
+    times = np.ones(len(ids), np.int64)
+    times[unseen] = [len(o) for o in octets]
+    out = np.repeat(ids, times)
+    out[np.repeat(unseen, times)] = np.frombuffer(b"".join(octets), np.uint8).astype(np.int32) + first_byte
+    ends = np.concatenate(([0], np.cumsum(times)))[np.concatenate(([0], np.cumsum(sizes)))]
+    return out, np.diff(ends)
+
+
+def best_paths(words: pa.Array, pieces: Pieces) -> pa.ListArray:
+    """The pieces of the best path of each word, not empty; unknown characters as bytes."""
+    texts = [w.decode("utf-8", "replace") for w in words.cast(pa.binary()).to_pylist()]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    order = np.argsort(-sizes, kind="stable")
+    codes = np.frombuffer("".join([texts[k] for k in order.tolist()]).encode("utf-32-le"), np.int32)
+    ids, counts = _spelled(*_solved(codes, sizes[order], pieces), pieces.first_byte)
+    paths = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids, pa.int32()))
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return paths.take(pa.array(back))
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,17 +210,16 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, n: the short words that a batch holds twice or more; null and the number of all its words."""
+    """word, n: the short words that a batch holds twice or more."""
     for batch in _sliced(batches):
         flat = batch.column("words").flatten()
         counts = flat.filter(pc.less_equal(pc.utf8_length(flat), SHORT)).value_counts()
         counts = counts.filter(pc.greater(counts.field("counts"), 1))
-        columns = [counts.field("values").to_pylist() + [None], counts.field("counts").to_pylist() + [len(flat)]]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64())], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "n"])
 
 
-def frequent_paths(rows: DataFrame, pieces: DataFrame, most: int) -> tuple[pa.Table, int]:
-    """word, ids of the most frequent short words, `most` of them at most, and the number of all words.
+def frequent_paths(rows: DataFrame, pieces: Broadcast, most: int) -> pa.Table:
+    """word, ids of the most frequent short words, `most` of them at most.
 
     Words are counted where a batch of texts holds them twice or more, which leaves out the long tail before the shuffle.
     Frequencies are parted on a scale of eighths of powers of two; a part that doesn't fit as a whole stays out.
@@ -203,63 +229,42 @@ def frequent_paths(rows: DataFrame, pieces: DataFrame, most: int) -> tuple[pa.Ta
     counted = rows.select("words").mapInArrow(_repeated, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted.write.parquet(file)
     counted, held, least = spark.read.schema("word string, n long").parquet(file), 0, 1 << 30
-    total = counted.filter("word is null").agg(F.sum("n")).first()[0] or 0
-    counted = counted.filter("word is not null").select("word", F.floor(8 * F.log2("n")).cast("int").alias("level"))
+    counted = counted.select("word", F.floor(8 * F.log2("n")).cast("int").alias("level"))
     for row in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
         if held + row["count"] > most:
             break
         held, least = held + row["count"], row["level"]
     chosen = counted.filter(F.col("level") >= least).select("word").repartition(max(1, held // TASK_PATHS), "word")
-    return best_paths(lattice(chosen, ["word"], pieces), ["word"], pieces).toArrow(), total
+    return chosen.mapInArrow(_with_paths(pieces), "word string, ids array<int>").toArrow()
+
+
+def _with_paths(pieces: Broadcast) -> Callable:
+    """word -> word, ids."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("word"), best_paths(batch.column("word"), pieces.value)], ["word", "ids"])
 
-def _width(ids: np.ndarray) -> type:
-    """Two bytes an id where they do; the type's largest number stands for a word that isn't known."""
-    return np.uint16 if not len(ids) or ids.max() < (1 << 16) - 1 else np.uint32
+    return run
 
 
-def _looked_up(known: Broadcast) -> Callable:
-    """row, held, words -> row, held, packed (ids in a few bytes each, holes for words that aren't known), missing (those words)."""
+def _looked_up(known: Broadcast, pieces: Broadcast) -> Callable:
+    """held, words -> held, ids; words that aren't known are solved here, once for each slice of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sizes, ids = known.value
-        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids))
+        words, paths = known.value
         for batch in _sliced(batches):
             lists = batch.column("words")
             bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             flat = lists.flatten()
             at = pc.index_in(flat, value_set=words)
             gone = at.is_null()
-            places = pc.fill_null(at, len(words))
-            ends = np.concatenate(([0], np.cumsum(sizes[places.to_numpy()], dtype=np.int64)))
-            values = ids.take(places).flatten().to_numpy()
-            at_bytes = pa.py_buffer(values.itemsize * ends[bounds])
-            packed = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, at_bytes, pa.py_buffer(values)])
-            holes = np.concatenate(([0], np.cumsum(gone.to_numpy(zero_copy_only=False)))).astype(np.int32)
-            missing = pa.ListArray.from_arrays(pa.array(holes[bounds]), flat.filter(gone))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("held"), packed.cast(pa.binary()), missing], ["row", "held", "packed", "missing"]
-            )
-
-    return run
-
-
-def _filled(kind: type) -> Callable:
-    """held, packed, found (paths of the words missing, in order; null if none are) -> held, ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            packed = batch.column("packed").cast(pa.large_binary())
-            bounds = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(batch) + 1] // np.dtype(kind).itemsize
-            values = np.frombuffer(packed.buffers()[2] or b"", kind)[bounds[0] : bounds[-1]]
-            holes, found = values == np.iinfo(kind).max, batch.column("found").flatten()
-            sizes = np.ones(len(values), np.int64)
-            sizes[holes] = pc.list_value_length(found).to_numpy()
-            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            ids = np.repeat(values, sizes).astype(np.int32)
-            ids[np.repeat(holes, sizes)] = found.flatten().to_numpy()
-            lists = pa.ListArray.from_arrays(pa.array(ends[bounds - bounds[0]]), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column("held"), lists], ["held", "ids"])
+            missing = flat.filter(gone).dictionary_encode()
+            places = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+            places[gone.to_numpy(zero_copy_only=False)] = missing.indices.to_numpy().astype(np.int64) + len(words)
+            found = pa.chunked_array([paths, best_paths(missing.dictionary, pieces.value).cast(paths.type)]).combine_chunks().take(pa.array(places))
+            ids = pa.ListArray.from_arrays(pa.array(found.offsets.to_numpy()[bounds]), found.values)
+            yield pa.RecordBatch.from_arrays([batch.column("held"), ids], ["held", "ids"])
 
     return run
 
@@ -267,28 +272,17 @@ def _filled(kind: type) -> Callable:
 def encode(texts: DataFrame, pieces: DataFrame, keys: list[str], frequent: int = FREQUENT) -> DataFrame:
     """One row per row of texts: its keys and ids, the piece ids of its whole text.
 
-    texts must give its rows in the same order if a task is run again, as files do. frequent: the most words whose paths are
-    broadcast; results don't depend on it.
+    frequent: the most words whose paths are broadcast; results don't depend on it.
     """
     spark = texts.sparkSession
     names = [f"key{i}" for i in range(len(keys))]
     held = F.struct(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
     rows = texts.select(held.alias("held"), words_of(F.col("text")).alias("words"))
-    table, total = frequent_paths(rows, pieces, frequent)
-    paths, kind = table["ids"].combine_chunks(), _width(np.array([r.id for r in pieces.select("id").collect()]))
-    sizes = np.append(pc.list_value_length(paths).to_numpy(), 1).astype(np.int64)
-    ids = np.append(paths.flatten().to_numpy().astype(kind), kind(np.iinfo(kind).max))
-    known = spark.sparkContext.broadcast((table["word"].combine_chunks(), sizes, ids))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "held", "words")
-    kept = T.StructType([*rows.select("row", "held").schema, *T.StructType.fromDDL("packed binary, missing array<string>")])
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, total // TASK_WORDS))
-    looked = rows.mapInArrow(_looked_up(known), kept).repartition(parts, "row")
-    missing = looked.select("row", F.posexplode("missing").alias("slot", "word"))
-    solved = best_paths(lattice(missing, ["row", "slot"], pieces), ["row", "slot"], pieces)
-    found = solved.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "ids"))), lambda p: p["ids"]).alias("found"))
-    whole = looked.join(found.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left").select("held", "packed", "found")
+    table = spark.sparkContext.broadcast(Pieces(pieces.collect()))
+    paths = frequent_paths(rows, table, frequent)
+    known = spark.sparkContext.broadcast(tuple(paths[c].combine_chunks() for c in ("word", "ids")))
     out = T.StructType([rows.schema["held"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return whole.mapInArrow(_filled(kind), out).select("held.*", "ids").toDF(*keys, "ids")
+    return rows.mapInArrow(_looked_up(known, table), out).select("held.*", "ids").toDF(*keys, "ids")
 
 
 def decode(encoded: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:

@@ -73,6 +73,21 @@ def test_long_text_without_blanks(spark):
     assert got[30_000] == viterbi(model, text[:30_000])
 
 
+def test_rare_words_stay_beside_their_text(spark, monkeypatch):
+    """No text, word or edge is shuffled, and words of some blocks have the paths of the plain Viterbi."""
+    monkeypatch.setattr(pieces, "BLOCK", 40)
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdeinorst漢é😀") for _ in range(r.choice([1, 3, 8, 39, 40, 41, 200]))) for _ in range(300)]
+    table = pieces.piece_table(spark, PATH)
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    found = pieces.best_paths(pieces.pa.array(["▁" + w for w in words]), pieces.Pieces(table.collect())).to_pylist()
+    assert found == [viterbi(model, w) for w in words]
+    texts = spark.createDataFrame([(k, w + " " + w) for k, w in enumerate(words)], "k long, text string")
+    encoded = pieces.encode(texts, table, ["k"], 5)
+    assert "Exchange" not in encoded._jdf.queryExecution().executedPlan().toString()
+    assert {x.k: x.ids for x in encoded.collect()} == {k: 2 * ids for k, ids in enumerate(found)}
+
+
 def test_query_encodes_documents(spark):
     """op10 gives one row per document; ids of short ones are those of the plain Viterbi."""
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
