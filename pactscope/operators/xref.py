@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactscope.functions.lexicon import PATTERNS
-from pactscope.functions.text import all_groups, contains_any, first_group, has_words, strip
+from pactscope.functions.text import all_groups, contains_any, first_group, has_words, let, strip
 from pactscope.functions.wording import RELATION_TEXTS
 from pactscope.operators.rules import (
     ASSESSED,
@@ -66,19 +66,25 @@ def build_label_index(clauses: DataFrame) -> DataFrame:
 
 
 def _wording(body: Column, label: Column) -> Column:
-    """How the text around the first mention of ``label`` introduces it."""
+    """How the text around the first mention of ``label`` introduces it.
+
+    The text around it begins 80 characters before at the earliest. It is looked for from there on, behind the character
+    before: from every place the search would go through 80 characters.
+    """
     quoted = F.replace(label, F.lit("."), F.lit("\\."))
-    pattern = F.concat(
-        F.lit(r"(?dU)(?:.{0,80})?\b(?:section|clause|article|subsection|paragraph)\s+"),
-        quoted,
-        F.lit(r"\b(?:.{0,80})?"),
+    mention = F.concat(F.lit(r"\b(?:section|clause|article|subsection|paragraph)\s+"), quoted, F.lit(r"\b"))
+    first = lambda text, pattern: F.call_function("regexp_extract", text, pattern, F.lit(1))
+    around = F.concat(F.lit("(?dU)(?s:.)((?:.{0,80})?"), mention, F.lit("(?:.{0,80})?)"))
+    rest = let(
+        F.length(first(body, F.concat(F.lit("(?dUs)^(.*?)"), mention))) + 1,
+        lambda at: F.when(at > 81, F.substring(body, at - 81, F.length(body))).otherwise(F.concat(F.lit("\n"), body)),
     )
-    window = F.coalesce(F.nullif(F.regexp_substr(body, pattern), F.lit("")), body)
-    return (
-        F.when(has_words(window, "reference_overrides"), "overrides")
+    return let(
+        F.coalesce(F.nullif(first(rest, around), F.lit("")), body),
+        lambda window: F.when(has_words(window, "reference_overrides"), "overrides")
         .when(has_words(window, "reference_limits"), "limits")
         .when(has_words(window, "reference_expands"), "expands")
-        .otherwise("unrelated")
+        .otherwise("unrelated"),
     )
 
 

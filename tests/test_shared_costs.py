@@ -31,3 +31,34 @@ def test_vector_column(spark):
     one, two = (buckets.bucket(w, 384) for w in (b"one", b"two"))
     assert [tuple(e) for e in got[1]] == sorted([(one, 2), (two, 1)])
     assert (got[2], got[3], got[4]) == (None, [], [])
+
+
+def _window_of_old(label):
+    """The text around a mention, searched from every place."""
+    return F.regexp_substr("body", F.concat(
+        F.lit(r"(?dU)(?:.{0,80})?\b(?:section|clause|article|subsection|paragraph)\s+"), F.replace(label, F.lit("."), F.lit("\\.")),
+        F.lit(r"\b(?:.{0,80})?"),
+    ))
+
+
+def test_wording_looks_from_the_first_mention(spark):
+    """The same wording as by a search from every place, in time that doesn't grow by 80 steps a character."""
+    r = random.Random(2)
+    atoms = ["section 3", "xsection 3", "subsection  3", "clause\n3", "article 3.1", "subject to ", "notwithstanding ", "in addition to ", "\n",
+             "😀", "limited by ", "x" * 70, "word " * 15, "é ", "as provided in "]
+    bodies = ["".join(r.choice(atoms) for _ in range(r.randint(1, 14))) for _ in range(600)] + ["", None, "section 3"]
+    bodies += ["y" * n + "section 3 subject to" + "z" * k for n in (0, 79, 80, 81, 82) for k in (0, 90)]
+    bodies += ["section 3" + "w" * n + " section 3 subject to" for n in range(60, 95)]
+    df = spark.createDataFrame([(b, x) for b in bodies for x in ("3", "3.1")], "body string, label string")
+    old = F.coalesce(F.nullif(_window_of_old(F.col("label")), F.lit("")), F.col("body"))
+    told = xref._wording(old, F.lit("none such"))
+    rows = df.select(xref._wording(F.col("body"), F.col("label")).alias("new"), told.alias("old")).collect()
+    assert [x.new for x in rows] == [x.old for x in rows]
+    assert len({x.new for x in rows}) == 4
+    long = spark.createDataFrame([("lorem ipsum " * 40_000 + "section 3", "3")] * 4, "body string, label string").coalesce(1)
+    before = time.time()
+    long.select(xref._wording(F.col("body"), F.col("label")).alias("w")).collect()
+    took = time.time() - before
+    before = time.time()
+    long.select(_window_of_old(F.col("label")).alias("w")).collect()
+    assert took < (time.time() - before) / 2
