@@ -62,3 +62,9 @@ def test_wording_looks_from_the_first_mention(spark):
     before = time.time()
     long.select(_window_of_old(F.col("label")).alias("w")).collect()
     assert took < (time.time() - before) / 2
+
+
+def test_union_assesses_once(spark):
+    """u1 meets the rules in one place of its plan: keywords are looked for in clauses as they are."""
+    plan = retrieval_queries.QUERIES["u1_ordered_union"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("indemnity_uncapped") and sum("inherited" in line and "bit_or" in line for line in plan.splitlines()) == 1
