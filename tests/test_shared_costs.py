@@ -68,3 +68,12 @@ def test_union_assesses_once(spark):
     """u1 meets the rules in one place of its plan: keywords are looked for in clauses as they are."""
     plan = retrieval_queries.QUERIES["u1_ordered_union"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("indemnity_uncapped") and sum("inherited" in line and "bit_or" in line for line in plan.splitlines()) == 1
+
+
+def test_unique_span_flattens_a_page_once(spark):
+    """White space of page and clause is squeezed once per row, however often the flat texts are looked at."""
+    df = spark.createDataFrame([("Some  words\nthat stand here once.", "words that stand here"), ("twice twice twice twice", "twice twice"), ("", "x"), (None, "y")], "page string, text string")
+    out = df.select(spans.safe_unique_span(F.col("page"), F.col("text")).alias("s"))
+    assert [r.s and tuple(r.s) for r in out.collect()] == [(6, 27), None, None, None]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(page") == 1
