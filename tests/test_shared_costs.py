@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from pactscope.functions import buckets
 from pactscope.operators import retrieval, spans, xref
-from pactscope.plans import retrieval_queries
+from pactscope.plans import retrieval_queries, verdict_queries
+from pactscope.sources import files
 
 
 def test_words_are_hashed_once_a_batch(monkeypatch):
@@ -77,3 +78,11 @@ def test_unique_span_flattens_a_page_once(spark):
     assert [r.s and tuple(r.s) for r in out.collect()] == [(6, 27), None, None, None]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(page") == 1
+
+
+def test_documents_are_written_from_one_assessment(spark, monkeypatch):
+    """Both writes of s10 read the judged clauses from a table; no rule is in their plans."""
+    plans, write = [], files.write_contract_documents
+    monkeypatch.setattr(files, "write_contract_documents", lambda rows, *a: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or write(rows, *a))
+    assert verdict_queries.QUERIES["s10_write_contract_document"](spark, "/root/testdata/sf0.001").count() == 1500
+    assert len(plans) == 2 and not any("indemnity_uncapped" in plan for plan in plans)
